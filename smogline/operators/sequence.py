@@ -83,7 +83,8 @@ def number_rows(df: DataFrame, key, order: str = "time", tiebreak: Sequence[str]
     d = df.withColumn("_bkt", bkt.cast("long"))
     w_in = Window.partitionBy(*keys, "_bkt").orderBy(order, *tiebreak)
     ranked = d.withColumn("_rn_in", F.row_number().over(w_in) - F.lit(1))
-    counts = d.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
+    # counts from the ranked rows: already partitioned by (keys, bucket), so no second scan/exchange
+    counts = ranked.groupBy(*keys, "_bkt").agg((F.max("_rn_in") + F.lit(1)).alias("_n"))
     offs = exclusive_scan(counts, keys, "_bkt", "_n", "sum", "_off")
     offs = offs.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_bkt").alias("_o_bkt"), "_off")
     cond = None

@@ -10,6 +10,7 @@ from ..functions.calendar import calendar_columns, cyclic_columns
 from ..operators import windows as W
 from ..operators.ewma import block_size, ewma_finish, ewma_window_columns
 from ..operators.sequence import DEFAULT_CHUNK_ROWS, over_series
+from ..session import cut_lineage
 from ..schemas import FEATURE_COLUMNS, KEY, MODEL_BASE_COLUMNS, MODEL_EXTRA_COLUMNS
 
 EWMA_SPAN = 6
@@ -44,7 +45,8 @@ def build_features(readings: DataFrame, drop_incomplete: bool = True,
     return out.select(*FEATURE_COLUMNS)
 
 
-def training_features(features: DataFrame, target: str, span: float = EWMA_SPAN) -> DataFrame:
+def training_features(features: DataFrame, target: str, span: float = EWMA_SPAN,
+                      materialize: bool = True) -> DataFrame:
     """Rows with a label for ``target`` plus the 13 training-time columns.
 
     The windows run after the label filter, as in the reference: a row without a target is not part
@@ -60,6 +62,9 @@ def training_features(features: DataFrame, target: str, span: float = EWMA_SPAN)
 
     out = over_series(labelled, KEY, compute, lookback=W.TRAINING_LOOKBACK, lookahead=0, chunk_rows=block,
                       keep_position=True)
+    if materialize:
+        # the block fix-up reads this table three times: write it once to the shared folder
+        out = cut_lineage(out, "training-windows")
     out = ewma_finish(out, [KEY], "aqi", span, block, "aqi_ewma_6h").drop("_rn", "_chunk")
     cols = cyclic_columns()
     cols.update(derived.wind_vector())

@@ -252,7 +252,7 @@ def training_sql(target: str) -> str:
             f"SELECT n.time, {base}, {extra}, n.{target} FROM n LEFT JOIN e ON n.city = e.city AND n.rn = e.rn {win}")
 
 
-TRAIN_STABLE = ["hour_sin", "hour_cos", "month_sin", "month_cos", "wind_u", "wind_v", "aqi_ewma_6h", "aqi_roll_std_48h"]
+TRAIN_STABLE = STD_COLS + ["hour_sin", "hour_cos", "month_sin", "month_cos", "wind_u", "wind_v", "aqi_ewma_6h", "aqi_roll_std_48h"]
 
 
 def _training(spark, sf, target="target_aqi_24h"):

@@ -59,7 +59,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "smogline", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared folder (survives executor loss, unlike localCheckpoint)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df, name: str = "stage"):
+    """Writes ``df`` once as Parquet under the shared folder and reads it back.
+
+    Cuts the lineage like a reliable checkpoint (survives executor loss, unlike localCheckpoint), but
+    computes the input once (``Dataset.checkpoint`` evaluates it twice unless cached) and the read
+    back gets column pruning and filter pushdown.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
