@@ -97,7 +97,8 @@ def fit_horizon(features: DataFrame, target: str, model_name: str = "gbt", fract
     """One horizon: training matrix, split, fit on train, metrics on test (M3/M4, L4, A5, M7)."""
     tm = training_features(features, target)
     split = chrono_split(tm, fraction)
-    train = split.filter(F.col("is_train"))
+    # a label needs the current index too (delta = target - aqi); rows without it cannot be fitted
+    train = split.filter(F.col("is_train") & F.col("target_delta").isNotNull())
     test = split.filter(~F.col("is_train"))
     pipe, names, dropped, with_nulls = build_pipeline(train, model_name, **params)
     nums = [n for n in names if n not in CATEGORICAL_COLUMNS and not n.endswith("_missing")]

@@ -355,3 +355,88 @@ def q_buffer_stream(spark, sf):
     job = LiveJob(spark, scratch_path(spark, "buffer-state"), features=False)
     job.run(readings_stream(spark, f"{landing}/*"), scratch_path(spark, "buffer-ckpt"))
     return job.latest_buffer().select(*READINGS_COLUMNS)
+
+
+# --- M1-M4, M6-M9, M11 (rows only: model output is not SQL) ----------------------------------------
+
+# Registry smoke runs fit 50 boosting rounds; the job default (``GBT_PARAMS``) keeps the reference's 500.
+REGISTRY_GBT_ROUNDS = 50
+_FITS: dict = {}
+
+
+def _fits(spark, sf, model: str) -> dict:
+    """Per-horizon fits, shared by the model queries of one session (fitting is the costly part)."""
+    from ..ml import models as M
+    key = (id(spark), sf, model)
+    if key not in _FITS:
+        from ..session import cut_lineage
+        feats = cut_lineage(_feats(spark, sf, complete=True), "model-features")
+        kw = {"maxIter": REGISTRY_GBT_ROUNDS} if model == "gbt" else {}
+        _FITS[key] = {t: M.fit_horizon(feats, t, model, **kw) for t in TARGETS}
+    return _FITS[key]
+
+
+def _metrics_of(spark, sf, model):
+    fits = _fits(spark, sf, model)
+    out = None
+    for fit in fits.values():
+        out = fit.metrics if out is None else out.unionByName(fit.metrics)
+    return out
+
+
+@register("train_gbt")
+def q_train_gbt(spark, sf):
+    """M1-M3: boosted trees on the delta label per horizon; test metrics (MAE, RMSE, R2)."""
+    return _metrics_of(spark, sf, "gbt")
+
+
+@register("train_ridge")
+def q_train_ridge(spark, sf):
+    """M4: ridge regression per horizon."""
+    return _metrics_of(spark, sf, "ridge")
+
+
+@register("train_forest")
+def q_train_forest(spark, sf):
+    """M4: random forest per horizon."""
+    return _metrics_of(spark, sf, "forest")
+
+
+@register("model_select")
+def q_model_select(spark, sf):
+    """M6 + M5: best of persistence, ridge and boosted trees per horizon by test RMSE."""
+    from ..ml.models import persistence_metrics
+    m = persistence_metrics(_feats(spark, sf, complete=True))
+    m = m.unionByName(_metrics_of(spark, sf, "ridge")).unionByName(_metrics_of(spark, sf, "gbt"))
+    return AG.select_best(m)
+
+
+@register("feature_importance")
+def q_importance(spark, sf):
+    """M8: importance per feature of the boosted model, per horizon."""
+    from ..ml.models import feature_importance
+    out = None
+    for fit in _fits(spark, sf, "gbt").values():
+        f = feature_importance(fit)
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
+@register("batch_forecast")
+def q_batch_forecast(spark, sf):
+    """M9 + P12: every city x 24/48/72 h from its latest row, forecast = max(aqi + delta, 0)."""
+    from ..ml.models import batch_forecast
+    return batch_forecast(_feats(spark, sf), _fits(spark, sf, "gbt"))
+
+
+@register("model_listing")
+def q_model_listing(spark, sf):
+    """M7 + M11: save each horizon's pipeline, reload it, list horizon -> artifact path."""
+    from ..ml.models import load_model
+    rows = []
+    for target, fit in _fits(spark, sf, "ridge").items():
+        path = scratch_path(spark, f"model-{target}")
+        fit.model.write().overwrite().save(path)
+        load_model(path)
+        rows.append((target.rsplit("_", 1)[-1], "ridge", path))
+    return spark.createDataFrame(rows, "horizon string, model string, path string").orderBy("horizon")
