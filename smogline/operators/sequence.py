@@ -4,9 +4,9 @@ The reference's windows are row based per city (``shift(24)`` is 24 rows back).
 ``Window.partitionBy(city).orderBy(time)``, sends every row of a city to one task, so one hot city
 (a third of all rows) becomes one task. The chunked form used by default instead:
 
-1. ``number_rows``: row position per series without a per-series window. Rows are numbered inside
-   (series, time bucket) groups, and bucket offsets come from an exclusive prefix sum over the small
-   table of bucket counts (two-level, so even that table is never one group per series).
+1. ``number_rows``: row position per series without a per-series window over the rows. Rows are
+   numbered inside (series, time bucket) groups, and bucket offsets come from a running total over
+   the small table of bucket counts (one row per series and bucket).
 2. ``halo_layout``: chunk = position div C; each row is copied into the neighbour chunk when it lies
    within ``lookback`` rows of the chunk end (or ``lookahead`` rows of its start).
 3. windows run per (series, chunk) ordered by position; halo copies are dropped afterwards.
@@ -75,18 +75,25 @@ def number_rows(df: DataFrame, key, order: str = "time", tiebreak: Sequence[str]
                 bucket_days: int = DEFAULT_BUCKET_DAYS) -> DataFrame:
     """Adds ``_rn``: 0-based position of the row in its series ordered by ``order``.
 
-    The order must be unique within a series (pass ``tiebreak`` columns otherwise). Work per task is
-    bounded by the rows of one time bucket, not by the length of a series.
+    Rows are numbered inside (series, time bucket) groups (one shuffle, groups bounded by the rows of
+    one bucket); each bucket's offset is the running total of the bucket counts of its series. That
+    table has one row per (series, bucket), so per series it is bounded by the time span divided by
+    the bucket width, not by the number of rows; it is joined back on the same keys the rows are
+    already partitioned by. The order must be unique within a series (``tiebreak`` otherwise).
     """
     keys = _keys(key)
     bkt = F.floor(F.datediff(F.to_date(F.col(order)), F.lit("1970-01-01").cast("date")) / F.lit(bucket_days))
     d = df.withColumn("_bkt", bkt.cast("long"))
-    w_in = Window.partitionBy(*keys, "_bkt").orderBy(order, *tiebreak)
-    ranked = d.withColumn("_rn_in", F.row_number().over(w_in) - F.lit(1))
-    # counts from the ranked rows: already partitioned by (keys, bucket), so no second scan/exchange
-    counts = ranked.groupBy(*keys, "_bkt").agg((F.max("_rn_in") + F.lit(1)).alias("_n"))
-    offs = exclusive_scan(counts, keys, "_bkt", "_n", "sum", "_off")
-    offs = offs.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_bkt").alias("_o_bkt"), "_off")
+    w_in = Window.partitionBy(*keys, "_bkt")
+    ranked = d.withColumns({
+        "_rn_in": F.row_number().over(w_in.orderBy(order, *tiebreak)) - F.lit(1),
+        "_n": F.count(F.lit(1)).over(w_in),
+    })
+    # the first row of each bucket carries the bucket count: no extra aggregation or scan
+    w_off = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offs = (ranked.filter(F.col("_rn_in") == 0)
+            .select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_bkt").alias("_o_bkt"),
+                    F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off")))
     cond = None
     for k in keys:
         e = ranked[k].eqNullSafe(offs[f"_o_{k}"])
@@ -94,7 +101,7 @@ def number_rows(df: DataFrame, key, order: str = "time", tiebreak: Sequence[str]
     cond = cond & (ranked["_bkt"] == offs["_o_bkt"])
     out = ranked.join(offs, cond, "inner")
     return (out.withColumn(RN, (F.col("_off") + F.col("_rn_in")).cast("long"))
-            .drop("_bkt", "_rn_in", "_off", "_o_bkt", *[f"_o_{k}" for k in keys]))
+            .drop("_bkt", "_rn_in", "_n", "_off", "_o_bkt", *[f"_o_{k}" for k in keys]))
 
 
 def halo_layout(df: DataFrame, lookback: int, lookahead: int, chunk_rows: int) -> DataFrame:

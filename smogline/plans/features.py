@@ -46,14 +46,14 @@ def build_features(readings: DataFrame, drop_incomplete: bool = True,
 
 
 def training_features(features: DataFrame, target: str, span: float = EWMA_SPAN,
-                      materialize: bool = True) -> DataFrame:
+                      materialize: bool = True, block: int | None = None) -> DataFrame:
     """Rows with a label for ``target`` plus the 13 training-time columns.
 
     The windows run after the label filter, as in the reference: a row without a target is not part
     of the frames of its neighbours.
     """
     labelled = features.filter(F.col(target).isNotNull())
-    block = block_size(span)
+    block = block or block_size(span)
 
     def compute(d, w):
         cols = W.training_window_columns(w)
@@ -74,8 +74,8 @@ def training_features(features: DataFrame, target: str, span: float = EWMA_SPAN,
     return out.withColumns(cols)
 
 
-def training_matrix(features: DataFrame, target: str) -> DataFrame:
+def training_matrix(features: DataFrame, target: str, **kw) -> DataFrame:
     """The listed columns that exist, the 13 derived ones, ``time`` (for the split) and labels."""
-    t = training_features(features, target)
+    t = training_features(features, target, **kw)
     base = [c for c in MODEL_BASE_COLUMNS if c in t.columns]
     return t.select("time", *base, *MODEL_EXTRA_COLUMNS, "target_delta", target)
