@@ -5,16 +5,17 @@ ewma_t = sum_j r^(t-j) x_j / sum_j r^(t-j) over earlier rows j with a value, r =
 alpha = 2 / (span + 1); a row without a value repeats the last value; leading rows without any value
 stay null.
 
-Plan, on the halo layout of ``sequence.py`` with chunk = block of B rows:
+Plan, on the chunk layout of ``sequence.py`` (chunk = block of about B rows, position ``pos`` from the
+chunk start ``_cs``, block end ``_ce``):
 
 1. running sums of x r^-pos and r^-pos inside the block (one window, shared with the other series
    windows), scaled by r^pos -> local numerator and denominator;
 2. totals of the previous block, weighted r^(pos+1), are joined in (a small table, one row per block);
-   blocks further back weigh below r^(B+1) relative (1e-150 for span 6) and are dropped;
+   blocks further back weigh below r^(3B/4) relative (1e-84 for span 6, B = 768) and are dropped;
 3. rows before the first value of their block take the last value of an earlier block through an
    exclusive prefix scan over the per-block table.
 
-B is chosen so that r^-B stays far below the double range (``block_size``: 1024 for span 6).
+B is chosen so that r^-(5B/4) stays far below the double range (``block_size``: 768 for span 6).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .sequence import CHUNK, HOME, RN, exclusive_scan
+from .sequence import CE, CHUNK, CS, HOME, RN, exclusive_scan
 
 
 
@@ -35,8 +36,8 @@ def _ratio(span: float) -> float:
 
 def block_size(span: float) -> int:
     r = _ratio(span)
-    # largest block with r^-B < 1e150 (headroom for large values), capped at 1024; span 6 -> 1024
-    return int(max(64, min(1024, math.floor(150 * math.log(10) / -math.log(r)))))
+    # chunks may reach 5/4 B rows: keep r^-(5B/4) < 1e150 (headroom for large values); span 6 -> 768
+    return int(max(64, min(768, math.floor(0.8 * 150 * math.log(10) / -math.log(r)))))
 
 
 def _valid(x: Column) -> Column:
@@ -44,10 +45,11 @@ def _valid(x: Column) -> Column:
 
 
 def ewma_window_columns(w: WindowSpec, col: str, span: float, block: int, prefix: str = "_ew") -> dict[str, Column]:
-    """Step 1; ``w`` must be the chunked series window with chunk size ``block``."""
+    """Step 1; ``w`` must be the chunked series window (chunks of about ``block`` rows, at least
+    3/4 of it except the last, at most 5/4 of it: see ``sequence.over_series``)."""
     r = _ratio(span)
     x = F.col(col).cast("double")
-    pos = (F.col(RN) - F.col(CHUNK) * F.lit(block)).cast("double")
+    pos = (F.col(RN) - F.col(CS)).cast("double")
     valid = F.col(HOME) & _valid(x)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     u = F.sum(F.when(valid, x * F.pow(F.lit(r), -pos))).over(run)
@@ -60,8 +62,8 @@ def ewma_finish(df: DataFrame, keys, col: str, span: float, block: int, out: str
     keys = [keys] if isinstance(keys, str) else list(keys)
     r = _ratio(span)
     x = F.col(col).cast("double")
-    pos = (F.col(RN) - F.col(CHUNK) * F.lit(block)).cast("double")
-    tail_w = F.pow(F.lit(r), F.lit(float(block - 1)) - pos)
+    pos = (F.col(RN) - F.col(CS)).cast("double")
+    tail_w = F.pow(F.lit(r), (F.col(CE) - F.lit(1) - F.col(RN)).cast("double"))
     tot = (df.groupBy(*keys, CHUNK)
            .agg(F.sum(F.when(_valid(x), x * tail_w)).alias("_tu"), F.sum(F.when(_valid(x), tail_w)).alias("_tv")))
     tot = tot.select(*[F.col(k).alias(f"_p_{k}") for k in keys], (F.col(CHUNK) + 1).alias("_p_chunk"), "_tu", "_tv")

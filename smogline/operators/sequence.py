@@ -2,16 +2,25 @@
 
 The reference's windows are row based per city (``shift(24)`` is 24 rows back). The plain Spark form,
 ``Window.partitionBy(city).orderBy(time)``, sends every row of a city to one task, so one hot city
-(a third of all rows) becomes one task. The chunked form used by default instead:
-
-1. ``number_rows``: row position per series without a per-series window over the rows. Rows are
-   numbered inside (series, time bucket) groups, and bucket offsets come from a running total over
-   the small table of bucket counts (one row per series and bucket).
-2. ``halo_layout``: chunk = position div C; each row is copied into the neighbour chunk when it lies
-   within ``lookback`` rows of the chunk end (or ``lookahead`` rows of its start).
-3. windows run per (series, chunk) ordered by position; halo copies are dropped afterwards.
-
-The frames used by the features are at most 72 rows long, so C >= 72 keeps results exact.
+(a third of all rows) becomes one task. Here each series is cut into chunks of about ``chunk_rows``
+rows; rows within ``lookback`` rows before a chunk (or ``lookahead`` rows after it) are copied into it
+("halo"), the windows run per (series, chunk), and the copies are dropped. Frames used by the features
+reach at most 72 rows, so any chunk of at least that many rows gives exact results.
+
+Two layouts produce the chunks:
+
+* **Bucket layout (one shuffle).** Rows are grouped in (series, 7-day bucket); a partial aggregate
+  gives the bucket counts, a running total over that small table gives each bucket's row offset, and
+  whole buckets are assigned to chunks (chunk = offset div C). Halo copies are whole buckets, decided
+  from the same table. The table is broadcast to the rows, so the rows are shuffled once, by
+  (series, chunk). Used when the table passes a size check (row count under ``MAX_BUCKET_TABLE_ROWS``)
+  and no bucket exceeds a quarter chunk (which guarantees every chunk has >= 3/4 C rows, so halos come
+  from the neighbour chunk only).
+* **Row-number layout (two shuffles, general).** Exact row positions from a window inside
+  (series, bucket) plus bucket offsets, fixed chunks of C positions, halo rows copied individually.
+
+Both expose ``_chunk`` and ``_home`` and, when asked, ``_rn`` (row position in the series), ``_cs`` and
+``_ce`` (first and one-past-last position of the row's chunk), which the exponential mean needs.
 """
 
 from __future__ import annotations
@@ -24,24 +33,37 @@ from pyspark.sql import functions as F
 RN = "_rn"
 CHUNK = "_chunk"
 HOME = "_home"
+CS = "_cs"
+CE = "_ce"
+BKT = "_bkt"
 
 DEFAULT_CHUNK_ROWS = 4096
-DEFAULT_BUCKET_DAYS = 30
+DEFAULT_BUCKET_DAYS = 7
 SCAN_GROUP = 1024
+# Bucket tables up to this many rows (a few tens of MB) are broadcast; larger ones use the
+# row-number layout.
+MAX_BUCKET_TABLE_ROWS = 2_000_000
+
+_LAYOUT_COLS = [RN, CHUNK, CS, CE, BKT, "_off"]
 
 
 def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def _join_cond(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
+def _eq_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
     cond = None
-    for c in cols:
-        e = left[c].eqNullSafe(right[c])
+    for k in keys:
+        e = left[k].eqNullSafe(right[f"{prefix}{k}"])
         cond = e if cond is None else cond & e
     return cond
 
 
+def bucket_of(order: str, bucket_days: int) -> Column:
+    days = F.datediff(F.to_date(F.col(order)), F.lit("1970-01-01").cast("date"))
+    return F.floor(days / F.lit(bucket_days)).cast("long")
+
+
 def exclusive_scan(df: DataFrame, keys: Sequence[str], index: str, value: str, op: str, out: str,
                    group: int = SCAN_GROUP) -> DataFrame:
     """Exclusive prefix ``op`` ('sum' or 'max') of ``value`` along ``index`` within ``keys``.
@@ -58,11 +80,7 @@ def exclusive_scan(df: DataFrame, keys: Sequence[str], index: str, value: str, o
     w_top = Window.partitionBy(*keys).orderBy("_sup").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col("_sup").alias("_t_sup"),
                      agg("_tot").over(w_top).alias("_pre"))
-    cond = None
-    for k in keys:
-        e = inner[k].eqNullSafe(tot[f"_t_{k}"])
-        cond = e if cond is None else cond & e
-    cond = cond & (inner["_sup"] == tot["_t_sup"])
+    cond = _eq_keys(inner, tot, keys, "_t_") & (inner["_sup"] == tot["_t_sup"])
     j = inner.join(tot, cond, "inner")
     if op == "sum":
         res = F.coalesce(F.col("_pre"), F.lit(0)) + F.coalesce(F.col("_in"), F.lit(0))
@@ -71,6 +89,8 @@ def exclusive_scan(df: DataFrame, keys: Sequence[str], index: str, value: str, o
     return j.withColumn(out, res).drop("_sup", "_in", "_pre", *[f"_t_{k}" for k in keys], "_t_sup")
 
 
+# --- row-number layout ------------------------------------------------------------------------------
+
 def number_rows(df: DataFrame, key, order: str = "time", tiebreak: Sequence[str] = (),
                 bucket_days: int = DEFAULT_BUCKET_DAYS) -> DataFrame:
     """Adds ``_rn``: 0-based position of the row in its series ordered by ``order``.
@@ -82,30 +102,25 @@ def number_rows(df: DataFrame, key, order: str = "time", tiebreak: Sequence[str]
     already partitioned by. The order must be unique within a series (``tiebreak`` otherwise).
     """
     keys = _keys(key)
-    bkt = F.floor(F.datediff(F.to_date(F.col(order)), F.lit("1970-01-01").cast("date")) / F.lit(bucket_days))
-    d = df.withColumn("_bkt", bkt.cast("long"))
-    w_in = Window.partitionBy(*keys, "_bkt")
+    d = df.withColumn(BKT, bucket_of(order, bucket_days))
+    w_in = Window.partitionBy(*keys, BKT)
     ranked = d.withColumns({
         "_rn_in": F.row_number().over(w_in.orderBy(order, *tiebreak)) - F.lit(1),
         "_n": F.count(F.lit(1)).over(w_in),
     })
     # the first row of each bucket carries the bucket count: no extra aggregation or scan
-    w_off = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    w_off = Window.partitionBy(*keys).orderBy(BKT).rowsBetween(Window.unboundedPreceding, -1)
     offs = (ranked.filter(F.col("_rn_in") == 0)
-            .select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_bkt").alias("_o_bkt"),
+            .select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col(BKT).alias("_o_bkt"),
                     F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off")))
-    cond = None
-    for k in keys:
-        e = ranked[k].eqNullSafe(offs[f"_o_{k}"])
-        cond = e if cond is None else cond & e
-    cond = cond & (ranked["_bkt"] == offs["_o_bkt"])
+    cond = _eq_keys(ranked, offs, keys, "_o_") & (ranked[BKT] == offs["_o_bkt"])
     out = ranked.join(offs, cond, "inner")
     return (out.withColumn(RN, (F.col("_off") + F.col("_rn_in")).cast("long"))
-            .drop("_bkt", "_rn_in", "_n", "_off", "_o_bkt", *[f"_o_{k}" for k in keys]))
+            .drop(BKT, "_rn_in", "_n", "_off", "_o_bkt", *[f"_o_{k}" for k in keys]))
 
 
 def halo_layout(df: DataFrame, lookback: int, lookahead: int, chunk_rows: int) -> DataFrame:
-    """Assigns ``_chunk`` and copies boundary rows into neighbour chunks (``_home`` false)."""
+    """Fixed chunks of ``chunk_rows`` positions; boundary rows copied to neighbours (``_home`` false)."""
     if chunk_rows < max(lookback, lookahead, 1):
         raise ValueError("chunk_rows must cover the longest frame")
     rn = F.col(RN)
@@ -116,25 +131,98 @@ def halo_layout(df: DataFrame, lookback: int, lookahead: int, chunk_rows: int) -
         F.when(pos >= F.lit(chunk_rows - lookback), F.struct((c + 1).alias(CHUNK), F.lit(False).alias(HOME))),
         F.when(pos < F.lit(lookahead), F.struct((c - 1).alias(CHUNK), F.lit(False).alias(HOME))),
     )
-    return df.select("*", F.inline(F.filter(copies, lambda s: s.isNotNull())))
+    out = df.select("*", F.inline(F.filter(copies, lambda s: s.isNotNull())))
+    return out.withColumns({CS: F.col(CHUNK) * F.lit(chunk_rows), CE: (F.col(CHUNK) + 1) * F.lit(chunk_rows)})
+
+
+# --- bucket layout ----------------------------------------------------------------------------------
+
+def bucket_table(df: DataFrame, keys: Sequence[str], order: str, lookback: int, lookahead: int,
+                 chunk_rows: int, bucket_days: int) -> DataFrame:
+    """One row per (series, bucket): count, offset and the chunks that need the bucket's rows."""
+    counts = (df.select(*keys, bucket_of(order, bucket_days).alias(BKT))
+              .groupBy(*keys, BKT).agg(F.count(F.lit(1)).alias("_n")))
+    w = Window.partitionBy(*keys).orderBy(BKT)
+    b = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    b = b.withColumn(CHUNK, F.floor(F.col("_off") / F.lit(chunk_rows)).cast("long"))
+    wc = Window.partitionBy(*keys, CHUNK)
+    ws = Window.partitionBy(*keys)
+    b = b.withColumns({CS: F.min("_off").over(wc), CE: F.max(F.col("_off") + F.col("_n")).over(wc),
+                       "_last": F.max(CHUNK).over(ws)})
+    end = F.col("_off") + F.col("_n")
+    targets = F.array(
+        F.struct(F.col(CHUNK).alias("c"), F.lit(True).alias("h")),
+        F.when((F.col(CHUNK) < F.col("_last")) & (end > F.col(CE) - F.lit(lookback)),
+               F.struct((F.col(CHUNK) + 1).alias("c"), F.lit(False).alias("h"))),
+        F.when((F.col(CHUNK) > 0) & (F.col("_off") < F.col(CS) + F.lit(lookahead)),
+               F.struct((F.col(CHUNK) - 1).alias("c"), F.lit(False).alias("h"))),
+    )
+    return b.select(*keys, BKT, "_n", "_off", CS, CE, F.filter(targets, lambda s: s.isNotNull()).alias("_targets"))
+
+
+def bucket_layout(df: DataFrame, table: DataFrame, keys: Sequence[str], order: str,
+                  tiebreak: Sequence[str] = (), with_position: bool = False,
+                  bucket_days: int = DEFAULT_BUCKET_DAYS) -> DataFrame:
+    """Rows joined with the (checked, broadcast) bucket table and replicated into their chunks.
+
+    With ``with_position`` the row position is ``bucket offset + rank inside the bucket``; every copy of
+    a bucket carries all its rows, so the rank is right in every chunk. ``_cs``/``_ce`` are those of
+    the row's home chunk (only home rows use them)."""
+    t = table.select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.col(BKT).alias("_b_bkt"), "_off", CS, CE,
+                     "_targets")
+    d = df.withColumn(BKT, bucket_of(order, bucket_days))
+    j = d.join(F.broadcast(t), _eq_keys(d, t, keys, "_b_") & (d[BKT] == t["_b_bkt"]), "inner")
+    j = j.drop(*[f"_b_{k}" for k in keys], "_b_bkt")
+    laid = (j.select("*", F.inline("_targets")).withColumnRenamed("c", CHUNK).withColumnRenamed("h", HOME)
+            .drop("_targets"))
+    if not with_position:
+        return laid.drop(CS, CE)
+    w = Window.partitionBy(*keys, CHUNK, BKT).orderBy(order, *tiebreak)
+    return laid.withColumn(RN, (F.col("_off") + F.row_number().over(w) - F.lit(1)).cast("long"))
+
+
+def check_bucket_table(table: DataFrame, chunk_rows: int, lookback: int, lookahead: int) -> bool:
+    """Size check before broadcasting: row count and largest bucket, from one small aggregate."""
+    row = table.agg(F.count(F.lit(1)).alias("rows"), F.max("_n").alias("biggest")).first()
+    if row["rows"] == 0:
+        return True
+    limit = min(chunk_rows - max(lookback, lookahead), chunk_rows // 4)
+    return row["rows"] <= MAX_BUCKET_TABLE_ROWS and row["biggest"] <= limit
 
 
 def over_series(df: DataFrame, key, compute: Callable[[DataFrame, WindowSpec], DataFrame], *,
                 order: str = "time", lookback: int = 0, lookahead: int = 0,
                 chunk_rows: int | None = DEFAULT_CHUNK_ROWS, tiebreak: Sequence[str] = (),
-                bucket_days: int = DEFAULT_BUCKET_DAYS, keep_position: bool = False) -> DataFrame:
-    """Runs ``compute(df, window)`` where ``window`` is partitioned per series and ordered by row.
-
-    ``chunk_rows=None`` gives the plain per-series window (one task per series; for small inputs and
-    as a cross-check). Otherwise the chunked layout above; ``compute`` must only use frames that
-    reach at most ``lookback`` rows back and ``lookahead`` rows ahead.
+                bucket_days: int = DEFAULT_BUCKET_DAYS, keep_position: bool = False,
+                layout: str = "auto") -> DataFrame:
+    """Runs ``compute(df, window)`` where ``window`` is partitioned per series (chunk) and ordered.
+
+    ``chunk_rows=None`` gives the plain per-series window (one task per series; for inputs bounded per
+    series and as a cross-check). Otherwise ``layout`` is "auto" (bucket layout when its table passes
+    the check, else row numbers), "bucket" or "rows". ``compute`` may only use frames that reach at
+    most ``lookback`` rows back and ``lookahead`` rows ahead. ``keep_position`` keeps ``_rn``,
+    ``_chunk``, ``_cs`` and ``_ce`` on the output (home rows only).
     """
     keys = _keys(key)
     if chunk_rows is None:
         w = Window.partitionBy(*keys).orderBy(order, *tiebreak)
         return compute(df, w)
-    numbered = number_rows(df, keys, order, tiebreak, bucket_days)
-    laid = halo_layout(numbered, lookback, lookahead, chunk_rows)
-    w = Window.partitionBy(*keys, CHUNK).orderBy(RN)
+    if chunk_rows < max(lookback, lookahead, 1):
+        raise ValueError("chunk_rows must cover the longest frame")
+    use_bucket = False
+    if layout in ("auto", "bucket"):
+        table = bucket_table(df, keys, order, lookback, lookahead, chunk_rows, bucket_days).persist()
+        use_bucket = check_bucket_table(table, chunk_rows, lookback, lookahead)
+        if layout == "bucket" and not use_bucket:
+            raise ValueError("bucket table too large or buckets too big for the chunk size")
+        if not use_bucket:
+            table.unpersist()
+    if use_bucket:
+        laid = bucket_layout(df, table, keys, order, tiebreak, keep_position, bucket_days)
+        w = Window.partitionBy(*keys, CHUNK).orderBy(order, *tiebreak)
+    else:
+        laid = halo_layout(number_rows(df, keys, order, tiebreak, bucket_days), lookback, lookahead, chunk_rows)
+        w = Window.partitionBy(*keys, CHUNK).orderBy(RN)
     out = compute(laid, w).filter(F.col(HOME)).drop(HOME)
-    return out if keep_position else out.drop(CHUNK, RN)
+    drop = [c for c in _LAYOUT_COLS if c in out.columns and (not keep_position or c in (BKT, "_off"))]
+    return out.drop(*drop)

@@ -26,7 +26,7 @@ def feature_windows(d: DataFrame, w) -> DataFrame:
 
 
 def build_features(readings: DataFrame, drop_incomplete: bool = True,
-                   chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                   chunk_rows: int | None = DEFAULT_CHUNK_ROWS, **layout) -> DataFrame:
     """50-column feature table from readings with ``aqi``.
 
     One shuffle for the row numbering and one for the chunked windows, whatever the number of cities
@@ -35,7 +35,7 @@ def build_features(readings: DataFrame, drop_incomplete: bool = True,
     """
     d = readings.withColumns(calendar_columns("time"))
     out = over_series(d, KEY, feature_windows, lookback=W.FEATURE_LOOKBACK, lookahead=W.FEATURE_LOOKAHEAD,
-                      chunk_rows=chunk_rows)
+                      chunk_rows=chunk_rows, **layout)
     out = out.withColumns({
         "pm_ratio": derived.pm_ratio(),
         "wind_pollution_interaction": derived.wind_pollution(),
@@ -46,7 +46,7 @@ def build_features(readings: DataFrame, drop_incomplete: bool = True,
 
 
 def training_features(features: DataFrame, target: str, span: float = EWMA_SPAN,
-                      materialize: bool = True, block: int | None = None) -> DataFrame:
+                      materialize: bool = True, block: int | None = None, **layout) -> DataFrame:
     """Rows with a label for ``target`` plus the 13 training-time columns.
 
     The windows run after the label filter, as in the reference: a row without a target is not part
@@ -61,11 +61,11 @@ def training_features(features: DataFrame, target: str, span: float = EWMA_SPAN,
         return d.withColumns(cols)
 
     out = over_series(labelled, KEY, compute, lookback=W.TRAINING_LOOKBACK, lookahead=0, chunk_rows=block,
-                      keep_position=True)
+                      keep_position=True, **layout)
     if materialize:
         # the block fix-up reads this table three times: write it once to the shared folder
         out = cut_lineage(out, "training-windows")
-    out = ewma_finish(out, [KEY], "aqi", span, block, "aqi_ewma_6h").drop("_rn", "_chunk")
+    out = ewma_finish(out, [KEY], "aqi", span, block, "aqi_ewma_6h").drop("_rn", "_chunk", "_cs", "_ce")
     cols = cyclic_columns()
     cols.update(derived.wind_vector())
     cols["aqi_trend_24h"] = derived.aqi_trend()

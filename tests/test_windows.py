@@ -24,10 +24,11 @@ def _assert_frames_equal(a, b):
             assert list(x.where(x.notna(), None)) == list(y.where(y.notna(), None)), c
 
 
-@pytest.mark.parametrize("chunk", [100, 173])
-def test_chunked_equals_plain(readings, chunk):
+@pytest.mark.parametrize("chunk,days,layout", [(100, 7, "rows"), (173, 7, "auto"), (100, 1, "bucket"),
+                                               (400, 2, "bucket")])
+def test_chunked_equals_plain(readings, chunk, days, layout):
     plain = FT.build_features(readings, drop_incomplete=False, chunk_rows=None)
-    chunked = FT.build_features(readings, drop_incomplete=False, chunk_rows=chunk)
+    chunked = FT.build_features(readings, drop_incomplete=False, chunk_rows=chunk, bucket_days=days, layout=layout)
     _assert_frames_equal(_pdf(plain, FEATURE_COLUMNS), _pdf(chunked, FEATURE_COLUMNS))
 
 
@@ -72,14 +73,16 @@ def pandas_training(pdf, target):
     return d
 
 
-@pytest.mark.parametrize("block", [80, 128])
-def test_training_windows_small_blocks_match_pandas(readings, block):
+@pytest.mark.parametrize("block,days,layout", [(80, 7, "rows"), (128, 7, "rows"), (96, 1, "bucket"),
+                                               (160, 1, "bucket")])
+def test_training_windows_small_blocks_match_pandas(readings, block, days, layout):
     """Blocks far smaller than a series force the block carry and the cross-block null fill."""
     feats = FT.build_features(readings, drop_incomplete=False, chunk_rows=None)
     # long null runs: blank out the index on a stretch of one series
     feats = feats.withColumn("aqi", F.when((F.col("city") == "click") & (F.dayofmonth("time").between(3, 9)),
                                            F.lit(None)).otherwise(F.col("aqi")))
-    got = FT.training_features(feats, "target_aqi_24h", block=block, materialize=False)
+    got = FT.training_features(feats, "target_aqi_24h", block=block, materialize=False, bucket_days=days,
+                               layout=layout)
     cols = ["city", "time", "aqi_ewma_6h", "aqi_roll_mean_48h", "aqi_roll_max_72h", "aqi_roll_std_48h", "pressure_trend_12h"]
     g = _pdf(got, cols)
     p = feats.toPandas()
