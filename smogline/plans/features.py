@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import derived
 from ..functions.calendar import calendar_columns, cyclic_columns
 from ..operators import windows as W
-from ..operators.ewma import block_size, ewma_finish, ewma_window_columns
+from ..operators.ewma import block_size, ewma_fill, ewma_window_columns, halo_rows
 from ..operators.sequence import DEFAULT_CHUNK_ROWS, over_series
 from ..session import cut_lineage
 from ..schemas import FEATURE_COLUMNS, KEY, MODEL_BASE_COLUMNS, MODEL_EXTRA_COLUMNS
@@ -46,26 +46,29 @@ def build_features(readings: DataFrame, drop_incomplete: bool = True,
 
 
 def training_features(features: DataFrame, target: str, span: float = EWMA_SPAN,
-                      materialize: bool = True, block: int | None = None, **layout) -> DataFrame:
+                      materialize: bool = True, block: int | None = None, ewma_halo: int | None = None,
+                      **layout) -> DataFrame:
     """Rows with a label for ``target`` plus the 13 training-time columns.
 
     The windows run after the label filter, as in the reference: a row without a target is not part
-    of the frames of its neighbours.
+    of the frames of its neighbours. One shuffle (chunked windows incl. the exponential mean), then a
+    small fill for rows whose last index value lies in an earlier chunk.
     """
     labelled = features.filter(F.col(target).isNotNull())
     block = block or block_size(span)
+    halo = ewma_halo or halo_rows(span)
 
     def compute(d, w):
         cols = W.training_window_columns(w)
-        cols.update(ewma_window_columns(w, "aqi", span, block))
+        cols.update(ewma_window_columns(w, "aqi", span))
         return d.withColumns(cols)
 
-    out = over_series(labelled, KEY, compute, lookback=W.TRAINING_LOOKBACK, lookahead=0, chunk_rows=block,
-                      keep_position=True, **layout)
+    out = over_series(labelled, KEY, compute, lookback=max(W.TRAINING_LOOKBACK, halo), lookahead=0,
+                      chunk_rows=block, keep_position=True, **layout)
     if materialize:
-        # the block fix-up reads this table three times: write it once to the shared folder
+        # the fill reads this table three times (per-chunk last values, rows to fill, the rest)
         out = cut_lineage(out, "training-windows")
-    out = ewma_finish(out, [KEY], "aqi", span, block, "aqi_ewma_6h").drop("_rn", "_chunk", "_cs", "_ce")
+    out = ewma_fill(out, [KEY], "aqi_ewma_6h").drop("_rn", "_chunk", "_cs", "_ce")
     cols = cyclic_columns()
     cols.update(derived.wind_vector())
     cols["aqi_trend_24h"] = derived.aqi_trend()
