@@ -73,6 +73,9 @@ def sub_index(conc, pollutant: str = "pm25", gap: str = "zero") -> Column:
     negative or inside a gap between buckets -> 0 (``gap="zero"``). ``gap="truncate"`` applies the
     EPA truncation (0.1 for PM2.5, 1 for PM10) before the lookup, which closes the gaps.
     """
+    if isinstance(conc, str):
+        # same rule as one SQL expression: parsed once instead of ~100 driver calls per use
+        return F.expr(sub_index_sql(f"`{conc}`", pollutant, gap, dialect="spark"))
     table = TABLES[pollutant]
     c = _col(conc)
     x = _truncated(c, pollutant) if gap == "truncate" else c
@@ -90,6 +93,10 @@ def aqi(pm25="pm2_5", pm10="pm10", missing: str = "skip", gap: str = "zero") ->
     ``missing="skip"`` (live rows): a null reading is skipped, both null -> null.
     ``missing="zero"`` (history rows): a missing reading counts as sub-index 0, so never null.
     """
+    if missing not in ("skip", "zero"):
+        raise ValueError(f"unknown missing mode {missing!r}")
+    if isinstance(pm25, str) and isinstance(pm10, str):
+        return F.expr(aqi_sql(f"`{pm25}`", f"`{pm10}`", missing, gap, dialect="spark"))
     s25 = sub_index(pm25, "pm25", gap)
     s10 = sub_index(pm10, "pm10", gap)
     if missing == "zero":

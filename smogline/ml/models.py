@@ -114,21 +114,19 @@ def fit_horizon(features: DataFrame, target: str, model_name: str = "gbt", fract
     return HorizonFit(target, model_name, model, names, metrics, pred, dropped)
 
 
-def persistence_predictions(features: DataFrame, target: str, fraction: float = 0.8) -> DataFrame:
-    """M5: forecast = current aqi on the test rows of the horizon (label filter, then split)."""
-    lab = features.filter(F.col(target).isNotNull()).select("city", "time", "aqi", target)
-    test = chrono_split(lab, fraction).filter(~F.col("is_train"))
-    return test.select("city", "time", "aqi", F.col(target).alias("y_true"),
-                       forecast_from_delta("aqi", F.lit(0.0)).alias("y_pred"),
-                       F.lit(horizon_label(target)).alias("horizon"), F.lit("persistence").alias("model"))
+def persistence_predictions(features: DataFrame, targets=TARGETS, fraction: float = 0.8) -> DataFrame:
+    """M5: forecast = current aqi on each horizon's test rows (label filter, then split), all horizons
+    from one scan: rows are fanned out per horizon and split per horizon in one pass."""
+    per_h = F.array(*[F.struct(F.lit(horizon_label(t)).alias("horizon"), F.col(t).alias("y_true")) for t in targets])
+    lab = (features.select("city", "time", "aqi", F.inline(per_h))
+           .filter(F.col("y_true").isNotNull()))
+    test = chrono_split(lab, fraction, group=["horizon"]).filter(~F.col("is_train"))
+    return test.select("city", "time", "aqi", "y_true", forecast_from_delta("aqi", F.lit(0.0)).alias("y_pred"),
+                       "horizon", F.lit("persistence").alias("model"))
 
 
 def persistence_metrics(features: DataFrame, targets=TARGETS, fraction: float = 0.8) -> DataFrame:
-    preds = None
-    for t in targets:
-        p = persistence_predictions(features, t, fraction)
-        preds = p if preds is None else preds.unionByName(p)
-    return prediction_metrics(preds)
+    return prediction_metrics(persistence_predictions(features, targets, fraction))
 
 
 def feature_importance(fit: HorizonFit) -> DataFrame:

@@ -54,7 +54,7 @@ def prediction_metrics(pred: DataFrame, y: str = "y_true", p: str = "y_pred",
     R2 follows the usual convention for a constant truth: 1 if the predictions are exact, else 0."""
     group = list(group)
     means = pred.groupBy(*group).agg(F.avg(y).alias("_ybar"))
-    j = pred.join(means, on=group)
+    j = pred.join(F.broadcast(means), on=group)  # one row per (horizon, model): bounded by construction
     err = F.col(p) - F.col(y)
     g = j.groupBy(*group).agg(
         F.avg(F.abs(err)).alias("mae"),

@@ -286,8 +286,10 @@ def _persistence_sql() -> str:
 def q_metrics_persistence(spark, sf):
     """M5 + A5: persistence forecast on each horizon's test split (the 20 % latest rows)."""
     from ..ml.models import persistence_metrics
-    m = persistence_metrics(_feats(spark, sf, complete=True))
-    return stable(m, ["mae", "rmse", "r2"])
+    from ..session import cut_lineage
+    # the feature table is a stored table in the pipeline; the split and metrics read it several times
+    feats = cut_lineage(_feats(spark, sf, complete=True), "persistence-features")
+    return stable(persistence_metrics(feats), ["mae", "rmse", "r2"])
 
 
 ALERT_REPORT_SQL = (f"SELECT city, time, aqi, {AQ.alert_sql('aqi', 'level')} AS level, {AQ.alert_sql('aqi', 'colour')} AS colour "
@@ -406,7 +408,8 @@ def q_train_forest(spark, sf):
 def q_model_select(spark, sf):
     """M6 + M5: best of persistence, ridge and boosted trees per horizon by test RMSE."""
     from ..ml.models import persistence_metrics
-    m = persistence_metrics(_feats(spark, sf, complete=True))
+    from ..session import cut_lineage
+    m = persistence_metrics(cut_lineage(_feats(spark, sf, complete=True), "select-features"))
     m = m.unionByName(_metrics_of(spark, sf, "ridge")).unionByName(_metrics_of(spark, sf, "gbt"))
     return AG.select_best(m)
 

@@ -76,3 +76,16 @@ def test_alert_levels(spark):
     got = [r[0] for r in df.select(AQ.alert_level("a")["level"]).collect()]
     assert got == ["Unknown", "Good", "Good", "Moderate", "Unhealthy for Sensitive Groups",
                    "Unhealthy - Orange Alert", "Very Unhealthy - Red Alert", "Hazardous"]
+
+
+@pytest.mark.parametrize("gap", ["zero", "truncate"])
+def test_column_form_equals_sql_form(spark, gap):
+    vals = edge_values(AQ.PM25_BREAKPOINTS) + edge_values(AQ.PM10_BREAKPOINTS)
+    df = spark.createDataFrame([(i, v, v) for i, v in enumerate(vals)], "i int, a double, b double")
+    out = df.select(
+        "i",
+        AQ.aqi("a", "b", missing="zero", gap=gap).alias("sql_form"),
+        AQ.aqi(F.col("a"), F.col("b"), missing="zero", gap=gap).alias("col_form"),
+        AQ.sub_index("a", "pm25", gap).alias("s1"), AQ.sub_index(F.col("a"), "pm25", gap).alias("s2"))
+    bad = out.filter(~F.col("sql_form").eqNullSafe(F.col("col_form")) | ~F.col("s1").eqNullSafe(F.col("s2")))
+    assert bad.count() == 0
