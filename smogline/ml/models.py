@@ -22,6 +22,7 @@ from ..operators.aggregates import prediction_metrics, select_best
 from ..operators.select import latest_row
 from ..operators.split import chrono_split
 from ..plans.features import training_features
+from ..session import cut_lineage
 from ..schemas import CATEGORICAL_COLUMNS, MODEL_BASE_COLUMNS, MODEL_EXTRA_COLUMNS, TARGETS, horizon_label
 
 # Reference settings of the boosted-tree model (500 trees, rate 0.03, depth 6, column share 0.8,
@@ -96,7 +97,8 @@ def fit_horizon(features: DataFrame, target: str, model_name: str = "gbt", fract
                 model_path: str | None = None, **params) -> HorizonFit:
     """One horizon: training matrix, split, fit on train, metrics on test (M3/M4, L4, A5, M7)."""
     tm = training_features(features, target)
-    split = chrono_split(tm, fraction)
+    # indexers, imputer, fit and scoring each read the matrix: write it (with the split flag) once
+    split = cut_lineage(chrono_split(tm, fraction), f"matrix-{target}")
     # a label needs the current index too (delta = target - aqi); rows without it cannot be fitted
     train = split.filter(F.col("is_train") & F.col("target_delta").isNotNull())
     test = split.filter(~F.col("is_train"))
