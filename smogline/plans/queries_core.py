@@ -11,7 +11,8 @@ from ..functions import derived
 from ..functions.calendar import SEASON_MONTHS, SEASON_OTHER, calendar_columns, cyclic_columns
 from ..schemas import (FEATURE_COLUMNS, LAG_HOURS, MODEL_BASE_COLUMNS, MODEL_EXTRA_COLUMNS, READINGS_COLUMNS,
                        ROLLING_WINDOWS)
-from ..sources.adapter import raw_events, readings_events, readings_events_sql, RAW_EVENTS_SQL
+from ..sources.adapter import (RAW_EVENTS_SQL, raw_events, readings_events, readings_events_sql, readings_hot_series,
+                               readings_hot_series_sql, readings_lineitem, readings_lineitem_sql)
 from . import features as FT
 from .registry import register, stable, stable_sql
 
@@ -178,6 +179,28 @@ FEATURES_SQL = f"SELECT {', '.join(FEATURE_COLUMNS)} FROM ({FEATURES_INNER_SQL})
 COMPLETE_FEATURES_SQL = FEATURES_SQL + " WHERE aqi_lag_24h IS NOT NULL AND target_aqi_72h IS NOT NULL"
 
 
+def features_sql(source: str, complete: bool = True) -> str:
+    """DuckDB feature table over any readings source (std columns rounded)."""
+    inner = _window_sql(
+        f"r.*, {CALENDAR_SQL}, {LAGS_SQL}, {ROLLING_SQL}, "
+        f"pm2_5 / nullif(pm10, 0e0) AS pm_ratio, wind_speed_10m * pm2_5 AS wind_pollution_interaction, "
+        f"{DIFFS_SQL}, {TARGETS_SQL}", source)
+    sql = f"SELECT {', '.join(FEATURE_COLUMNS)} FROM ({inner}) f"
+    return sql + (" WHERE aqi_lag_24h IS NOT NULL AND target_aqi_72h IS NOT NULL" if complete else "")
+
+
+@register("features_lineitem", features_sql(readings_lineitem_sql()))
+def q_features_lineitem(spark, sf):
+    """P18 on the many-series fixture (one series per supplier, one row per ship day)."""
+    return stable(FT.build_features(readings_lineitem(spark, sf)), STD_COLS)
+
+
+@register("features_hot_series", features_sql(readings_hot_series_sql()))
+def q_features_hot(spark, sf):
+    """P18 on one series holding every lineitem reading: the hot-key case, split into chunks."""
+    return stable(FT.build_features(readings_hot_series(spark, sf)), STD_COLS)
+
+
 def _features(spark, sf, drop_incomplete=False):
     return FT.build_features(_rd(spark, sf), drop_incomplete=drop_incomplete)
 

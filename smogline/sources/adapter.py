@@ -126,3 +126,38 @@ _READ_COLS = ", ".join(READINGS_COLUMNS[:-1])
 
 def readings_events_sql(missing: str = "skip") -> str:
     return f"SELECT {_READ_COLS}, {aqi_sql(missing=missing)} AS aqi FROM ({RAW_EVENTS_SQL}) r"
+
+
+def readings_hot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lineitem readings folded into one series (a key holding every row): time = ship date plus
+    the supplier number in minutes, unique per (supplier, day) while suppliers < 1440."""
+    r = readings_lineitem(spark, sf_dir)
+    t = (F.col("time") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("city").cast("int"))).cast("timestamp_ntz")
+    return r.withColumn("time", t).withColumn("city", F.lit("all"))
+
+
+RAW_LINEITEM_SQL = """
+SELECT time, city,
+  qmin AS temperature_2m, tmax * 1000e0 AS relative_humidity_2m, 1000e0 + qmin AS surface_pressure,
+  CAST(n AS DOUBLE) AS wind_speed_10m, CAST(omax % 360 AS DOUBLE) AS wind_direction_10m,
+  CAST(lmax AS DOUBLE) AS cloud_cover, dmax * 10e0 AS precipitation, pmax / 100e0 AS shortwave_radiation,
+  qmax * 10e0 AS pm2_5, dmax * 5000e0 AS pm10,
+  qmax + 1e0 AS nitrogen_dioxide, qmax + 2e0 AS sulphur_dioxide, qmax + 3e0 AS carbon_monoxide, qmax + 4e0 AS ozone,
+  CAST(NULL AS DOUBLE) AS dust, CAST(NULL AS DOUBLE) AS aerosol_optical_depth
+FROM (
+  SELECT CAST(l_suppkey AS VARCHAR) AS city, l_shipdate AS time, max(l_quantity) AS qmax, min(l_quantity) AS qmin,
+    max(l_discount) AS dmax, max(l_tax) AS tmax, max(l_extendedprice) AS pmax, count(*) AS n,
+    max(l_linenumber) AS lmax, max(l_orderkey) AS omax
+  FROM lineitem GROUP BY 1, 2
+) g
+"""
+
+
+def readings_lineitem_sql(missing: str = "skip") -> str:
+    return f"SELECT {_READ_COLS}, {aqi_sql(missing=missing)} AS aqi FROM ({RAW_LINEITEM_SQL}) r"
+
+
+def readings_hot_series_sql() -> str:
+    cols = ", ".join(c for c in READINGS_COLUMNS if c not in ("time", "city"))
+    return (f"SELECT time + to_minutes(CAST(city AS INTEGER)) AS time, 'all' AS city, {cols} "
+            f"FROM ({readings_lineitem_sql()}) l")
