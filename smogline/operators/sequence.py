@@ -9,7 +9,7 @@ reach at most 72 rows, so any chunk of at least that many rows gives exact resul
 
 Two layouts produce the chunks:
 
-* **Bucket layout (one shuffle).** Rows are grouped in (series, 7-day bucket); a partial aggregate
+* **Bucket layout (one shuffle).** Rows are grouped in (series, time bucket of 168 h, or 24 h / 1 h for dense series); a partial aggregate
   gives the bucket counts, a running total over that small table gives each bucket's row offset, and
   whole buckets are assigned to chunks (chunk = offset div C). Halo copies are whole buckets, decided
   from the same table. The table is broadcast to the rows, so the rows are shuffled once, by
@@ -38,7 +38,8 @@ CE = "_ce"
 BKT = "_bkt"
 
 DEFAULT_CHUNK_ROWS = 4096
-DEFAULT_BUCKET_DAYS = 7
+DEFAULT_BUCKET_HOURS = 168
+BUCKET_RETRY_HOURS = (24, 1)
 SCAN_GROUP = 1024
 # Bucket tables up to this many rows (a few tens of MB) are broadcast; larger ones use the
 # row-number layout.
@@ -59,9 +60,11 @@ def _eq_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str
     return cond
 
 
-def bucket_of(order: str, bucket_days: int) -> Column:
-    days = F.datediff(F.to_date(F.col(order)), F.lit("1970-01-01").cast("date"))
-    return F.floor(days / F.lit(bucket_days)).cast("long")
+def bucket_of(order: str, bucket_hours: int) -> Column:
+    """Time bucket of ``bucket_hours`` hours, from the wall-clock date and hour (no time zone)."""
+    t = F.col(order)
+    hours = F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("long") * F.lit(24) + F.hour(t)
+    return F.floor(hours / F.lit(bucket_hours)).cast("long")
 
 
 def exclusive_scan(df: DataFrame, keys: Sequence[str], index: str, value: str, op: str, out: str,
@@ -92,7 +95,7 @@ def exclusive_scan(df: DataFrame, keys: Sequence[str], index: str, value: str, o
 # --- row-number layout ------------------------------------------------------------------------------
 
 def number_rows(df: DataFrame, key, order: str = "time", tiebreak: Sequence[str] = (),
-                bucket_days: int = DEFAULT_BUCKET_DAYS) -> DataFrame:
+                bucket_hours: int = DEFAULT_BUCKET_HOURS, broadcast_offsets: bool = False) -> DataFrame:
     """Adds ``_rn``: 0-based position of the row in its series ordered by ``order``.
 
     Rows are numbered inside (series, time bucket) groups (one shuffle, groups bounded by the rows of
@@ -100,9 +103,11 @@ def number_rows(df: DataFrame, key, order: str = "time", tiebreak: Sequence[str]
     table has one row per (series, bucket), so per series it is bounded by the time span divided by
     the bucket width, not by the number of rows; it is joined back on the same keys the rows are
     already partitioned by. The order must be unique within a series (``tiebreak`` otherwise).
+    ``broadcast_offsets`` (set by the caller after checking the table's row count) ships the offsets
+    to the rows instead of a sort-merge join.
     """
     keys = _keys(key)
-    d = df.withColumn(BKT, bucket_of(order, bucket_days))
+    d = df.withColumn(BKT, bucket_of(order, bucket_hours))
     w_in = Window.partitionBy(*keys, BKT)
     ranked = d.withColumns({
         "_rn_in": F.row_number().over(w_in.orderBy(order, *tiebreak)) - F.lit(1),
@@ -114,7 +119,7 @@ def number_rows(df: DataFrame, key, order: str = "time", tiebreak: Sequence[str]
             .select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col(BKT).alias("_o_bkt"),
                     F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off")))
     cond = _eq_keys(ranked, offs, keys, "_o_") & (ranked[BKT] == offs["_o_bkt"])
-    out = ranked.join(offs, cond, "inner")
+    out = ranked.join(F.broadcast(offs) if broadcast_offsets else offs, cond, "inner")
     return (out.withColumn(RN, (F.col("_off") + F.col("_rn_in")).cast("long"))
             .drop(BKT, "_rn_in", "_n", "_off", "_o_bkt", *[f"_o_{k}" for k in keys]))
 
@@ -138,9 +143,9 @@ def halo_layout(df: DataFrame, lookback: int, lookahead: int, chunk_rows: int) -
 # --- bucket layout ----------------------------------------------------------------------------------
 
 def bucket_table(df: DataFrame, keys: Sequence[str], order: str, lookback: int, lookahead: int,
-                 chunk_rows: int, bucket_days: int) -> DataFrame:
+                 chunk_rows: int, bucket_hours: int) -> DataFrame:
     """One row per (series, bucket): count, offset and the chunks that need the bucket's rows."""
-    counts = (df.select(*keys, bucket_of(order, bucket_days).alias(BKT))
+    counts = (df.select(*keys, bucket_of(order, bucket_hours).alias(BKT))
               .groupBy(*keys, BKT).agg(F.count(F.lit(1)).alias("_n")))
     w = Window.partitionBy(*keys).orderBy(BKT)
     b = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -162,7 +167,7 @@ def bucket_table(df: DataFrame, keys: Sequence[str], order: str, lookback: int,
 
 def bucket_layout(df: DataFrame, table: DataFrame, keys: Sequence[str], order: str,
                   tiebreak: Sequence[str] = (), with_position: bool = False,
-                  bucket_days: int = DEFAULT_BUCKET_DAYS) -> DataFrame:
+                  bucket_hours: int = DEFAULT_BUCKET_HOURS) -> DataFrame:
     """Rows joined with the (checked, broadcast) bucket table and replicated into their chunks.
 
     With ``with_position`` the row position is ``bucket offset + rank inside the bucket``; every copy of
@@ -170,7 +175,7 @@ def bucket_layout(df: DataFrame, table: DataFrame, keys: Sequence[str], order: s
     the row's home chunk (only home rows use them)."""
     t = table.select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.col(BKT).alias("_b_bkt"), "_off", CS, CE,
                      "_targets")
-    d = df.withColumn(BKT, bucket_of(order, bucket_days))
+    d = df.withColumn(BKT, bucket_of(order, bucket_hours))
     j = d.join(F.broadcast(t), _eq_keys(d, t, keys, "_b_") & (d[BKT] == t["_b_bkt"]), "inner")
     j = j.drop(*[f"_b_{k}" for k in keys], "_b_bkt")
     laid = (j.select("*", F.inline("_targets")).withColumnRenamed("c", CHUNK).withColumnRenamed("h", HOME)
@@ -181,19 +186,20 @@ def bucket_layout(df: DataFrame, table: DataFrame, keys: Sequence[str], order: s
     return laid.withColumn(RN, (F.col("_off") + F.row_number().over(w) - F.lit(1)).cast("long"))
 
 
-def check_bucket_table(table: DataFrame, chunk_rows: int, lookback: int, lookahead: int) -> bool:
-    """Size check before broadcasting: row count and largest bucket, from one small aggregate."""
+def check_bucket_table(table: DataFrame, chunk_rows: int, lookback: int, lookahead: int) -> tuple[bool, bool]:
+    """Size check before broadcasting, from one small aggregate: (table small enough to broadcast,
+    every bucket small enough for the bucket layout)."""
     row = table.agg(F.count(F.lit(1)).alias("rows"), F.max("_n").alias("biggest")).first()
     if row["rows"] == 0:
-        return True
+        return True, True
     limit = min(chunk_rows - max(lookback, lookahead), chunk_rows // 4)
-    return row["rows"] <= MAX_BUCKET_TABLE_ROWS and row["biggest"] <= limit
+    return row["rows"] <= MAX_BUCKET_TABLE_ROWS, row["biggest"] <= limit
 
 
 def over_series(df: DataFrame, key, compute: Callable[[DataFrame, WindowSpec], DataFrame], *,
                 order: str = "time", lookback: int = 0, lookahead: int = 0,
                 chunk_rows: int | None = DEFAULT_CHUNK_ROWS, tiebreak: Sequence[str] = (),
-                bucket_days: int = DEFAULT_BUCKET_DAYS, keep_position: bool = False,
+                bucket_hours: int = DEFAULT_BUCKET_HOURS, keep_position: bool = False,
                 layout: str = "auto") -> DataFrame:
     """Runs ``compute(df, window)`` where ``window`` is partitioned per series (chunk) and ordered.
 
@@ -209,19 +215,28 @@ def over_series(df: DataFrame, key, compute: Callable[[DataFrame, WindowSpec], D
         return compute(df, w)
     if chunk_rows < max(lookback, lookahead, 1):
         raise ValueError("chunk_rows must cover the longest frame")
-    use_bucket = False
+    use_bucket, small_table = False, False
     if layout in ("auto", "bucket"):
-        table = bucket_table(df, keys, order, lookback, lookahead, chunk_rows, bucket_days).persist()
-        use_bucket = check_bucket_table(table, chunk_rows, lookback, lookahead)
+        # dense series: retry with finer buckets (whole-bucket halos stay small) before giving up the
+        # one-shuffle layout; a finer table is only tried while the coarser one was small enough
+        for hours in dict.fromkeys([bucket_hours, *[h for h in BUCKET_RETRY_HOURS if h < bucket_hours]]):
+            table = bucket_table(df, keys, order, lookback, lookahead, chunk_rows, hours).persist()
+            small_table, small_buckets = check_bucket_table(table, chunk_rows, lookback, lookahead)
+            use_bucket = small_table and small_buckets
+            if use_bucket or not small_table:
+                bucket_hours = hours
+                break
+            table.unpersist()
         if layout == "bucket" and not use_bucket:
             raise ValueError("bucket table too large or buckets too big for the chunk size")
         if not use_bucket:
             table.unpersist()
     if use_bucket:
-        laid = bucket_layout(df, table, keys, order, tiebreak, keep_position, bucket_days)
+        laid = bucket_layout(df, table, keys, order, tiebreak, keep_position, bucket_hours)
         w = Window.partitionBy(*keys, CHUNK).orderBy(order, *tiebreak)
     else:
-        laid = halo_layout(number_rows(df, keys, order, tiebreak, bucket_days), lookback, lookahead, chunk_rows)
+        numbered = number_rows(df, keys, order, tiebreak, bucket_hours, broadcast_offsets=small_table)
+        laid = halo_layout(numbered, lookback, lookahead, chunk_rows)
         w = Window.partitionBy(*keys, CHUNK).orderBy(RN)
     out = compute(laid, w).filter(F.col(HOME)).drop(HOME)
     drop = [c for c in _LAYOUT_COLS if c in out.columns and (not keep_position or c in (BKT, "_off"))]

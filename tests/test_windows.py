@@ -24,11 +24,11 @@ def _assert_frames_equal(a, b):
             assert list(x.where(x.notna(), None)) == list(y.where(y.notna(), None)), c
 
 
-@pytest.mark.parametrize("chunk,days,layout", [(100, 7, "rows"), (173, 7, "auto"), (100, 1, "bucket"),
-                                               (400, 2, "bucket")])
-def test_chunked_equals_plain(readings, chunk, days, layout):
+@pytest.mark.parametrize("chunk,hours,layout", [(100, 168, "rows"), (173, 168, "auto"), (100, 24, "bucket"),
+                                                (400, 48, "bucket"), (80, 6, "bucket")])
+def test_chunked_equals_plain(readings, chunk, hours, layout):
     plain = FT.build_features(readings, drop_incomplete=False, chunk_rows=None)
-    chunked = FT.build_features(readings, drop_incomplete=False, chunk_rows=chunk, bucket_days=days, layout=layout)
+    chunked = FT.build_features(readings, drop_incomplete=False, chunk_rows=chunk, bucket_hours=hours, layout=layout)
     _assert_frames_equal(_pdf(plain, FEATURE_COLUMNS), _pdf(chunked, FEATURE_COLUMNS))
 
 
@@ -73,9 +73,9 @@ def pandas_training(pdf, target):
     return d
 
 
-@pytest.mark.parametrize("block,days,layout", [(80, 7, "rows"), (128, 7, "rows"), (96, 1, "bucket"),
-                                               (160, 1, "bucket")])
-def test_training_windows_small_blocks_match_pandas(readings, block, days, layout):
+@pytest.mark.parametrize("block,hours,layout", [(80, 168, "rows"), (128, 168, "rows"), (96, 24, "bucket"),
+                                                (160, 24, "bucket")])
+def test_training_windows_small_blocks_match_pandas(readings, block, hours, layout):
     """Chunks far smaller than a series and a 72-row EWMA halo (older weights < r^72 ~ 3e-11) force
     the cross-chunk history and the cross-chunk null fill."""
     """Blocks far smaller than a series force the block carry and the cross-block null fill."""
@@ -83,7 +83,7 @@ def test_training_windows_small_blocks_match_pandas(readings, block, days, layou
     # long null runs: blank out the index on a stretch of one series
     feats = feats.withColumn("aqi", F.when((F.col("city") == "click") & (F.dayofmonth("time").between(3, 9)),
                                            F.lit(None)).otherwise(F.col("aqi")))
-    got = FT.training_features(feats, "target_aqi_24h", block=block, materialize=False, bucket_days=days,
+    got = FT.training_features(feats, "target_aqi_24h", block=block, materialize=False, bucket_hours=hours,
                                layout=layout, ewma_halo=72)
     cols = ["city", "time", "aqi_ewma_6h", "aqi_roll_mean_48h", "aqi_roll_max_72h", "aqi_roll_std_48h", "pressure_trend_12h"]
     g = _pdf(got, cols)
