@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import aqi as AQ
 from ..functions import derived
 from ..functions.calendar import SEASON_MONTHS, SEASON_OTHER, calendar_columns, cyclic_columns
-from ..schemas import (FEATURE_COLUMNS, LAG_HOURS, MODEL_BASE_COLUMNS, MODEL_EXTRA_COLUMNS, READINGS_COLUMNS,
-                       ROLLING_WINDOWS)
+from ..schemas import FEATURE_COLUMNS, LAG_HOURS, MODEL_BASE_COLUMNS, ROLLING_WINDOWS
 from ..sources.adapter import (RAW_EVENTS_SQL, raw_events, readings_events, readings_events_sql, readings_hot_series,
                                readings_hot_series_sql, readings_lineitem, readings_lineitem_sql)
 from . import features as FT

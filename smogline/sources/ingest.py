@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.aqi import aqi
-from ..schemas import FEATURES_SCHEMA, POLLUTANT_COLUMNS, RAW_SCHEMA, READINGS_COLUMNS, READINGS_SCHEMA, WEATHER_COLUMNS
+from ..schemas import FEATURES_SCHEMA, POLLUTANT_COLUMNS, READINGS_COLUMNS, READINGS_SCHEMA, WEATHER_COLUMNS
 
 CORRUPT = "_corrupt_record"
 

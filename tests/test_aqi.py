@@ -4,7 +4,6 @@ import math
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from smogline.functions import aqi as AQ
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from smogline.plans import features as FT
 from smogline.plans import fixtures as FX
-from smogline.schemas import FEATURE_COLUMNS, READINGS_COLUMNS
+from smogline.schemas import FEATURE_COLUMNS
 from smogline.session import scratch_path
 from smogline.sources.adapter import raw_events
 from smogline.functions.aqi import aqi

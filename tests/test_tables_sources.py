@@ -2,13 +2,12 @@
 
 import datetime as dt
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from smogline.operators import select as SEL
 from smogline.operators.split import chrono_split
 from smogline.plans import fixtures as FX
-from smogline.schemas import READINGS_COLUMNS, READINGS_SCHEMA
+from smogline.schemas import READINGS_SCHEMA
 from smogline.session import scratch_path
 from smogline.sources import ingest
 from smogline.sources.adapter import raw_events

@@ -1,7 +1,6 @@
 """Chunked halo layout equals the plain per-series window; pandas goldens; no leakage."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
