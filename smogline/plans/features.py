@@ -17,12 +17,16 @@ EWMA_SPAN = 6
 
 
 def feature_windows(d: DataFrame, w) -> DataFrame:
+    prefix = W.is_integral(d, "aqi")
+    if prefix:
+        d = d.withColumns(W.prefix_columns(w, "aqi"))
     cols = {}
     cols.update(W.lag_columns(w))
-    cols.update(W.rolling_columns(w))
+    cols.update(W.rolling_columns_prefix(w) if prefix else W.rolling_columns(w))
     cols.update(W.diff_columns(w))
     cols.update(W.target_columns(w))
-    return d.withColumns(cols)
+    d = d.withColumns(cols)
+    return W.drop_prefix(d, "aqi") if prefix else d
 
 
 def build_features(readings: DataFrame, drop_incomplete: bool = True,
@@ -59,9 +63,13 @@ def training_features(features: DataFrame, target: str, span: float = EWMA_SPAN,
     halo = ewma_halo or halo_rows(span)
 
     def compute(d, w):
-        cols = W.training_window_columns(w)
+        prefix = W.is_integral(d, "aqi")
+        if prefix:
+            d = d.withColumns(W.prefix_columns(w, "aqi"))
+        cols = W.training_window_columns_prefix(w) if prefix else W.training_window_columns(w)
         cols.update(ewma_window_columns(w, "aqi", span))
-        return d.withColumns(cols)
+        d = d.withColumns(cols)
+        return W.drop_prefix(d, "aqi") if prefix else d
 
     out = over_series(labelled, KEY, compute, lookback=max(W.TRAINING_LOOKBACK, halo), lookahead=0,
                       chunk_rows=block, keep_position=True, **layout)
