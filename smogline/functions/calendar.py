@@ -17,6 +17,20 @@ SEASON_OTHER = "autumn"
 WEEKEND_DAYS = (5, 6)  # Monday = 0
 
 
+def ntz_lit(value) -> Column:
+    """``timestamp_ntz`` literal from a naive ``datetime`` (wall clock), independent of the Python and
+    session time zones (``F.lit(datetime)`` converts through both)."""
+    if isinstance(value, Column):
+        return value.cast("timestamp_ntz")
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
+def hour_floor(t) -> Column:
+    """Wall-clock hour of a ``timestamp_ntz`` (no session time zone involved, unlike ``date_trunc``)."""
+    c = F.col(t) if isinstance(t, str) else t
+    return F.make_timestamp_ntz(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.lit(0), F.lit(0))
+
+
 def season(month="month") -> Column:
     m = F.col(month) if isinstance(month, str) else month
     expr = None

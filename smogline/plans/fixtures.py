@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..schemas import POLLUTANT_COLUMNS, WEATHER_COLUMNS
 from ..session import scratch_path
 from ..sources.ingest import POLLUTION_RENAMES
+from ..functions.calendar import ntz_lit
 
 TIME_FMT = "yyyy-MM-dd'T'HH:mm"
 
@@ -73,7 +74,7 @@ def live_hours(raw: DataFrame, hours: int = 24) -> tuple[DataFrame, list]:
     """(history, [hour, ...]): the last ``hours`` distinct hours of the global timeline are live."""
     last = [r["time"] for r in raw.select("time").distinct().orderBy(F.col("time").desc()).limit(hours).collect()]
     last.sort()
-    history = raw.filter(F.col("time") < F.lit(last[0]).cast("timestamp_ntz")) if last else raw
+    history = raw.filter(F.col("time") < ntz_lit(last[0])) if last else raw
     return history, last
 
 

@@ -20,6 +20,7 @@ from . import features as FT
 from . import fixtures as FX
 from .queries_core import CALENDAR_SQL, COMPLETE_FEATURES_SQL, FEATURES_SQL, R, RAW, STD_COLS
 from .registry import register, stable, stable_sql
+from ..functions.calendar import ntz_lit
 
 READ_COLS = ", ".join(READINGS_COLUMNS)
 RAW_COLS = ", ".join(c for c in READINGS_COLUMNS if c != "aqi")
@@ -109,7 +110,7 @@ _STD_ROUNDED = ", ".join(f"{stable_sql(c)} AS {c}" if c in STD_COLS else c for c
 def q_union(spark, sf):
     rd = _rd(spark, sf)
     _hist, hours = FX.live_hours(raw_events(spark, sf), 24)
-    live = rd.filter(F.col("time").isin([F.lit(h).cast("timestamp_ntz") for h in hours]))
+    live = rd.filter(F.col("time").isin([ntz_lit(h) for h in hours]))
     return K.union_by_name(stable(_feats(spark, sf, complete=True), STD_COLS), live)
 
 
@@ -142,8 +143,8 @@ def q_seed(spark, sf):
     """K5 then T3: no buffer yet -> seed from the history tail, add the newest hour, trim again."""
     rd = _rd(spark, sf)
     _hist, hours = FX.live_hours(raw_events(spark, sf), 1)
-    new = rd.filter(F.col("time") == F.lit(hours[0]).cast("timestamp_ntz"))
-    seeded = K.seed_buffer(rd.filter(F.col("time") < F.lit(hours[0]).cast("timestamp_ntz")))
+    new = rd.filter(F.col("time") == ntz_lit(hours[0]))
+    seeded = K.seed_buffer(rd.filter(F.col("time") < ntz_lit(hours[0])))
     buf = K.upsert_buffer(seeded, new)
     return buf.join(new.select("city", "time").withColumn("is_new", F.lit(True)), ["city", "time"], "left") \
         .withColumn("is_new", F.coalesce(F.col("is_new"), F.lit(False))).select(*READINGS_COLUMNS, "is_new")
@@ -164,7 +165,7 @@ def q_fallback(spark, sf):
     feats = stable(_feats(spark, sf), STD_COLS)
     batch = feats.filter(F.col("aqi_lag_24h").isNotNull() & F.col("target_aqi_72h").isNotNull())
     _hist, hours = FX.live_hours(raw_events(spark, sf), 24)
-    live = feats.filter(F.col("time").isin([F.lit(h).cast("timestamp_ntz") for h in hours])).withColumns(
+    live = feats.filter(F.col("time").isin([ntz_lit(h) for h in hours])).withColumns(
         {t: F.lit(None).cast("int") for t in TARGETS})
     return K.read_with_fallback(spark, None, batch, live).select(*FEATURE_COLUMNS)
 
@@ -207,7 +208,7 @@ def q_new_keys(spark, sf):
     """Keep the feature rows whose (city, time) is among the new rows."""
     feats = _feats(spark, sf)
     _hist, hours = FX.live_hours(raw_events(spark, sf), 24)
-    new = _rd(spark, sf).filter(F.col("time").isin([F.lit(h).cast("timestamp_ntz") for h in hours]))
+    new = _rd(spark, sf).filter(F.col("time").isin([ntz_lit(h) for h in hours]))
     return J.new_keys_semi(feats, new).select("city", "time", "aqi", "aqi_lag_1h", "aqi_roll_mean_24h")
 
 
@@ -337,7 +338,7 @@ def q_live_stream(spark, sf):
     from ..streaming.live import LiveJob, readings_stream
     raw = raw_events(spark, sf)
     hist, hours = FX.live_hours(raw, 24)
-    frames = [raw.filter(F.col("time") == F.lit(h).cast("timestamp_ntz")) for h in hours]
+    frames = [raw.filter(F.col("time") == ntz_lit(h)) for h in hours]
     landing = FX.land_batches(frames, "live-landing", single_file=True)
     job = LiveJob(spark, scratch_path(spark, "live-state"), history=hist.withColumn("aqi", AQ.aqi()))
     job.run(readings_stream(spark, f"{landing}/*", max_files=1), scratch_path(spark, "live-ckpt"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.aqi import aqi, aqi_sql
+from ..functions.calendar import hour_floor
 from ..schemas import READINGS_COLUMNS
 
 
@@ -25,7 +26,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     ev = ev.select(
         F.col("event_type").alias("city"),
-        F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("time"),
+        hour_floor(F.col("ts").cast("timestamp_ntz")).alias("time"),
         "event_id", "user_id", "value",
         F.get_json_object("props", "$.k").cast("double").alias("k"),
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.aqi import aqi
+from ..functions.calendar import hour_floor, ntz_lit
 from ..schemas import FEATURES_SCHEMA, POLLUTANT_COLUMNS, READINGS_COLUMNS, READINGS_SCHEMA, WEATHER_COLUMNS
 
 CORRUPT = "_corrupt_record"
@@ -102,7 +103,7 @@ def current_rows(weather: DataFrame, pollution: DataFrame, run_time) -> DataFram
     comp = F.try_element_at(F.col("list"), F.lit(1))["components"]
     p = pollution.filter(F.col(CORRUPT).isNull()).select(
         "city", *[comp[src].alias(dst) for src, dst in POLLUTION_RENAMES.items()])
-    hour = F.date_trunc("hour", F.lit(run_time).cast("timestamp_ntz")).cast("timestamp_ntz")
+    hour = hour_floor(ntz_lit(run_time))
     j = w.join(p, on="city", how="inner").withColumn("time", hour)
     j = j.withColumns({"dust": F.lit(None).cast("double"), "aerosol_optical_depth": F.lit(None).cast("double")})
     return j.withColumn("aqi", aqi(missing="skip")).select(*READINGS_COLUMNS)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.paths import exists, list_dirs
+from ..functions.calendar import ntz_lit
 
 BATCH = "batch_seq"
 ROW = "row_seq"
@@ -68,7 +69,7 @@ def retain(df: DataFrame, hours: int = BUFFER_RETENTION_HOURS, time: str = "time
     cutoff = retention_cutoff(df, hours, time)
     if cutoff is None:
         return df
-    return df.filter(F.col(time) >= F.lit(cutoff).cast("timestamp_ntz"))
+    return df.filter(F.col(time) >= ntz_lit(cutoff))
 
 
 class KeyedTable:
@@ -112,7 +113,7 @@ class KeyedTable:
         log = self.log()
         if since is not None:
             log = log.filter(F.col(MONTH) >= F.lit(since.strftime("%Y-%m"))).filter(
-                F.col(self.time) >= F.lit(since).cast("timestamp_ntz"))
+                F.col(self.time) >= ntz_lit(since))
         return last_wins(log.drop(MONTH), self.keys)
 
     def compact(self, out_path: str) -> DataFrame:

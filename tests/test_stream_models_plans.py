@@ -8,6 +8,7 @@ from smogline.schemas import FEATURE_COLUMNS
 from smogline.session import scratch_path
 from smogline.sources.adapter import raw_events
 from smogline.functions.aqi import aqi
+from smogline.functions.calendar import ntz_lit
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,7 +37,7 @@ def test_live_features_equal_batch_features(spark):
     from smogline.streaming.live import LiveJob, readings_stream
     raw = raw_events(spark, SF)
     hist, hours = FX.live_hours(raw, 3)
-    frames = [raw.filter(F.col("time") == F.lit(h).cast("timestamp_ntz")) for h in hours]
+    frames = [raw.filter(F.col("time") == ntz_lit(h)) for h in hours]
     landing = FX.land_batches(frames, "t-live", single_file=True)
     job = LiveJob(spark, scratch_path(spark, "t-live-state"), history=hist.withColumn("aqi", aqi()))
     job.run(readings_stream(spark, f"{landing}/*", max_files=1), scratch_path(spark, "t-live-ckpt"))
