@@ -79,7 +79,8 @@ class LiveJob:
         fresh = new_rows.withColumn("batch_seq", F.col(LANDED)).withColumn(
             "row_seq", F.monotonically_increasing_id()).drop(LANDED)
         both = fresh if base is None else union_by_name(base, fresh)
-        buf = retain(last_wins(both), self.retention)
+        # last-wins keeps the set of times, so the cutoff comes from the union (no second aggregate)
+        buf = retain(last_wins(both), self.retention, reference=both.select("time"))
         path = f"{self.buffer_root}/v={batch_id}"
         buf.write.mode("overwrite").parquet(path)
         buf = self.spark.read.parquet(path)

@@ -62,11 +62,13 @@ def retention_cutoff(df: DataFrame, hours: int = BUFFER_RETENTION_HOURS, time: s
     return row["m"] - __import__("datetime").timedelta(hours=hours)
 
 
-def retain(df: DataFrame, hours: int = BUFFER_RETENTION_HOURS, time: str = "time") -> DataFrame:
+def retain(df: DataFrame, hours: int = BUFFER_RETENTION_HOURS, time: str = "time",
+           reference: DataFrame | None = None) -> DataFrame:
     """K4: keep rows with time >= max(time) - hours (inclusive, global max, as the reference).
 
-    The cutoff is a literal, so the filter prunes month partitions and row groups of a Parquet log."""
-    cutoff = retention_cutoff(df, hours, time)
+    The cutoff is a literal, so the filter prunes month partitions and row groups of a Parquet log.
+    ``reference`` may give a cheaper input with the same max time (e.g. the union before last-wins)."""
+    cutoff = retention_cutoff(reference if reference is not None else df, hours, time)
     if cutoff is None:
         return df
     return df.filter(F.col(time) >= ntz_lit(cutoff))
@@ -133,7 +135,7 @@ def upsert_buffer(buffer: DataFrame, new_rows: DataFrame, hours: int = BUFFER_RE
                   keys: Sequence[str] = KEYS) -> DataFrame:
     """T3 step: buffer + new rows, last wins per key, then the global retention cutoff."""
     both = union_by_name(tag_batch(buffer, 0), tag_batch(new_rows, 1))
-    return retain(last_wins(both, keys), hours)
+    return retain(last_wins(both, keys), hours, reference=both.select("time"))
 
 
 def read_with_fallback(spark: SparkSession, store_path: str | None, batch: DataFrame,
