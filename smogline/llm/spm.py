@@ -2,7 +2,7 @@
 
 Encoding cuts the normalised text where no piece of the vocabulary can span (between letters that stand side
 by side in no piece), and looks the cuts up in a bounded per-process table. The unknown ones of a batch are
-concatenated and indexed by a suffix array (sorted by 16 code points, more than nearly all pieces have); every
+concatenated and indexed by a suffix array (sorted by their first eight code points); every
 piece is binary-searched for its range of occurrences; the ranges give edges (start, end, piece), which are
 sorted by position and relaxed in that order:
 
@@ -241,10 +241,11 @@ class Vocab:
         lone = np.flatnonzero(~single & (code != 0))
         start, end = np.concatenate([start, lone]), np.concatenate([end, lone + 1])
         piece = np.concatenate([piece, np.full(len(lone), -1)])
-        of = np.searchsorted(ends, start)
+        owner = np.repeat(np.arange(len(cuts)), ends - first + 1)
+        of = owner[start]
         rel = end - first[of]
         # by position within the cut; longest first within a place
-        order = np.argsort((rel.astype(np.int64) << 40) | start, kind="stable")
+        order = np.argsort((rel.astype(np.int64) << 40) | start)
         start, end, piece, of, rel = (x[order] for x in (start, end, piece, of, rel))
         last = np.full(len(code) + 1, -2, dtype=np.int64)       # piece that ends here; -2: none yet
         back = np.zeros(len(code) + 1, dtype=np.int64)
@@ -373,31 +374,27 @@ def _merge(piece: str, rank: dict[str, int]) -> tuple[int, int] | None:
     return got if got and None not in got else None
 
 
-def suffixes(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(suffix array, its first letters in order, the letters after them by place, letters and bits of a key,
-    alphabet); 0 ends a suffix."""
+def suffixes(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int, np.ndarray]:
+    """(suffix array, first letters of the suffixes in its order and by place, letters and bits of a key, alphabet);
+    0 ends a suffix. The order goes by as many letters as a 64-bit key holds, which is more than most pieces have."""
     alphabet, dense = np.unique(code, return_inverse=True)
     bits = max(int(len(alphabet) - 1).bit_length(), 1)
     per = min(KEY, 64 // bits)
     dense = dense.astype(np.uint64)
-    stop = np.flatnonzero(code == 0)
-    room = stop[np.searchsorted(stop, np.arange(len(code)))] - np.arange(len(code))   # letters before the end
-    key = np.zeros(len(code), dtype=np.uint64)
-    for k in range(per):
-        shifted = np.zeros_like(dense)
-        shifted[:max(len(code) - k, 0)] = dense[k:]
-        key = (key << np.uint64(bits)) | np.where(room > k, shifted, 0)
-    nxt = np.zeros_like(key)
-    rest = max(len(code) - per, 0)
-    nxt[:rest] = np.where(room[:rest] > per, key[per:], 0)
-    order = np.lexsort((nxt, key))
-    return order, key[order], nxt, np.array([per, bits]), alphabet
+    key = dense.copy()
+    live = dense > 0            # whether the suffix goes on so far
+    for k in range(1, per):
+        key <<= np.uint64(bits)
+        live[-k:] = False
+        live[:-k] &= dense[k:] > 0
+        key[:-k] |= np.where(live[:-k], dense[k:], 0)
+    order = np.argsort(key)
+    return order, key[order], key, per, bits, alphabet
 
 
 def edges(code: np.ndarray, names: list[str], live: np.ndarray, length: np.ndarray, letters: np.ndarray):
     """All occurrences of the pieces: (start, end, piece), from ranges of the suffix array."""
-    order, key, nxt, (per, bits), alphabet = suffixes(code)
-    per, bits = int(per), int(bits)
+    order, key, by_place, per, bits, alphabet = suffixes(code)
     # letters of the pieces in the batch's alphabet; pieces with other letters don't occur
     known = np.searchsorted(alphabet, letters[live]).clip(max=len(alphabet) - 1)
     own = (alphabet[known] == letters[live]) | (letters[live] == 0)
@@ -413,36 +410,25 @@ def edges(code: np.ndarray, names: list[str], live: np.ndarray, length: np.ndarr
             high = high << np.uint64(bits) | np.where(here, known[:, k], (1 << bits) - 1).astype(np.uint64)
         return low, high
 
-    (lo1, hi1), (lo2, hi2) = bounds(0), bounds(per)
-    lo, hi = np.searchsorted(key, lo1, "left"), np.searchsorted(key, hi1, "right")
-    second = nxt[order]
-
-    def bisect(target: np.ndarray, a: np.ndarray, b: np.ndarray, right: bool) -> np.ndarray:
-        a, b = a.copy(), b.copy()
-        while (a < b).any():
-            mid = (a + b) // 2
-            v = second[np.minimum(mid, len(second) - 1)]
-            go = (v <= target) if right else (v < target)
-            open_ = a < b
-            a, b = np.where(open_ & go, mid + 1, a), np.where(open_ & ~go, mid, b)
-        return a
-
-    long = (length[use] > per) & (lo < hi)
-    if long.any():
-        a, b = lo[long], hi[long]
-        lo[long], hi[long] = bisect(lo2[long], a, b, False), bisect(hi2[long], a, b, True)
+    low, high = bounds(0)
+    lo, hi = np.searchsorted(key, low, "left"), np.searchsorted(key, high, "right")
     n = np.maximum(hi - lo, 0)
     start = order[ranges(lo, n)]
-    piece = np.repeat(use, n)
-    # the few pieces beyond both keys are compared letter by letter
-    very = np.flatnonzero(length[piece] > 2 * per)
-    if len(very):
-        text = code.tobytes()
-        good = [text[4 * s:4 * (s + len(names[r]))] == names[r].encode("utf-32-le")
-                for s, r in zip(start[very].tolist(), piece[very].tolist())]
-        keep = np.ones(len(piece), dtype=bool)
-        keep[very[~np.array(good)]] = False
-        start, piece = start[keep], piece[keep]
+    which = np.repeat(np.arange(len(use)), n)
+    # pieces beyond the key: the letters after it are compared within the range
+    more = np.flatnonzero(length[use][which] > per)
+    if len(more):
+        low, high = bounds(per)
+        after = start[more] + per
+        rest = by_place[np.minimum(after, len(code) - 1)]
+        good = (after < len(code)) & (rest >= low[which[more]]) & (rest <= high[which[more]])
+        for i in np.flatnonzero(good & (length[use][which[more]] > 2 * per)).tolist():
+            s, name = int(start[more[i]]), names[use[which[more[i]]]]
+            good[i] = code[s:s + len(name)].tobytes() == name.encode("utf-32-le")
+        keep = np.ones(len(which), dtype=bool)
+        keep[more[~good]] = False
+        start, which = start[keep], which[keep]
+    piece = use[which]
     return start, start + length[piece], piece
 
 
