@@ -11,7 +11,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (Imputer, OneHotEncoder, SQLTransformer, StringIndexer, TargetEncoder,
+                                VectorAssembler)
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from ..schemas import CATEGORICAL_COLUMNS, MODEL_BASE_COLUMNS, MODEL_EXTRA_COLUM
 # Reference settings of the boosted-tree model (500 trees, rate 0.03, depth 6, column share 0.8,
 # seed 42). The leaf-count limit has no MLlib counterpart; row subsampling is left at 1.0.
 GBT_PARAMS = dict(maxIter=500, stepSize=0.03, maxDepth=6, featureSubsetStrategy="0.8", seed=42,
-                  subsamplingRate=1.0, maxBins=64)
+                  subsamplingRate=1.0, maxBins=64, cacheNodeIds=True)
 RIDGE_PARAMS = dict(regParam=1.0, elasticNetParam=0.0, maxIter=100)
 FOREST_PARAMS = dict(numTrees=100, maxDepth=8, featureSubsetStrategy="onethird", seed=42)
 
@@ -74,9 +75,19 @@ def build_pipeline(train: DataFrame, model_name: str = "gbt", label: str = "targ
     nums = [c for c in nums if c not in dropped]
     with_nulls = [c for c, (nn, n) in prof.items() if 0 < nn < n]
     stages = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep") for c in cats]
+    # any number of categories: trees see the mean label of a category, linear models its indicator
+    if model_name == "ridge":
+        stages.append(OneHotEncoder(inputCols=[f"{c}_idx" for c in cats], outputCols=[f"{c}_enc" for c in cats],
+                                    handleInvalid="keep"))
+    else:
+        stages.append(TargetEncoder(inputCols=[f"{c}_idx" for c in cats], outputCols=[f"{c}_enc" for c in cats],
+                                    labelCol=label, targetType="continuous", smoothing=10.0, handleInvalid="keep"))
+        # the encoded columns are numbers: without the index's category metadata trees split them as such
+        stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(
+            f"{c}_enc + 0D AS {c}_mean" for c in cats) + " FROM __THIS__"))
     imputed = [f"{c}_imp" for c in nums]
     stages.append(Imputer(inputCols=nums, outputCols=imputed, strategy="mean"))
-    inputs = [f"{c}_idx" for c in cats] + imputed + [f"{c}_missing" for c in with_nulls]
+    inputs = [f"{c}_{'enc' if model_name == 'ridge' else 'mean'}" for c in cats] + imputed + [f"{c}_missing" for c in with_nulls]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
     reg = MODELS[model_name](**params)
     reg.setFeaturesCol("features").setLabelCol(label).setPredictionCol("pred_delta")

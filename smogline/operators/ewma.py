@@ -46,7 +46,9 @@ def block_size(span: float) -> int:
     r^(rows / 2) must stay above 1e-150 (1024 for span 6)."""
     r = _ratio(span)
     limit = 2 * 150 * math.log(10) / -math.log(r)  # rows per partition
-    return int(max(128, min(4096, (limit - halo_rows(span)) / 1.5)) // 64 * 64)
+    halo = halo_rows(span)
+    # long spans need blocks that are longer than their halo
+    return int(max(128, min(max(4096, halo + 64), (limit - halo) / 1.5)) // 64 * 64)
 
 
 def _valid(x: Column) -> Column:

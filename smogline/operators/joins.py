@@ -26,13 +26,14 @@ def new_keys_semi(frame: DataFrame, new_rows: DataFrame, keys=("city", "time"))
 
 
 def dim_join(readings: DataFrame, city_dim: DataFrame, how: str = "left") -> DataFrame:
-    """Coordinates and province by city name. The dimension has a fixed size, so it is broadcast."""
-    return readings.join(F.broadcast(city_dim), on="city", how=how)
+    """Coordinates and province by city name. The caller gives the dimension, so the planner chooses the join
+    (AQE broadcasts it below the broadcast threshold)."""
+    return readings.join(city_dim, on="city", how=how)
 
 
 def unknown_entities(requests: DataFrame, city_dim: DataFrame, key: str = "city") -> DataFrame:
     """Requested keys absent from the dimension (the API's 404 case), as a left anti join."""
-    return requests.join(F.broadcast(city_dim.select(key)), on=key, how="left_anti")
+    return requests.join(city_dim.select(key), on=key, how="left_anti")
 
 
 def aqi_by_range_join(raw: DataFrame, missing: str = "skip") -> DataFrame:

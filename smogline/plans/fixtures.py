@@ -40,6 +40,33 @@ def land_archive(raw: DataFrame) -> tuple[str, str]:
     return out[0], out[1]
 
 
+def land_malformed(raw: DataFrame) -> dict[str, str]:
+    """Archive payloads of ``land_archive`` spoiled by the day of the year modulo 7: 0 one time too few, 1 the first
+    variable's array missing, 2 a first time that is none, 3 no city, 4 text cut off, 5 and 6 as they are."""
+    spark = raw.sparkSession
+    cols = WEATHER_COLUMNS + POLLUTANT_COLUMNS
+    k = F.dayofyear("_day") % 7
+    g = (raw.withColumn("_day", F.to_date("time"))
+         .groupBy("city", "_day")
+         .agg(F.sort_array(F.collect_list(F.struct("time", *cols))).alias("r")))
+    times = F.transform("r", lambda x: F.date_format(x["time"], TIME_FMT))
+    time = (F.when(k == 0, F.slice(times, 1, F.size(times) - 1))
+            .when(k == 2, F.concat(F.array(F.lit("not a time")), F.slice(times, 2, F.size(times))))
+            .otherwise(times))
+    out = {}
+    for kind, names in (("weather", WEATHER_COLUMNS), ("air", POLLUTANT_COLUMNS)):
+        # missing values stay in the arrays: null elements are written, null arrays are not
+        first = F.when(k != 1, F.transform("r", _field(names[0]))).alias(names[0])
+        rest = [F.transform("r", _field(n)).alias(n) for n in names[1:]]
+        text = F.to_json(F.struct(F.when(k != 3, F.col("city")).alias("city"),
+                                  F.struct(time.alias("time"), first, *rest).alias("hourly")))
+        out[kind] = scratch_path(spark, f"malformed-{kind}")
+        g.select((k == 4).alias("cut"), text.alias("t")).select(
+            F.when(F.col("cut"), F.substring("t", F.lit(1), F.length("t") - 5)).otherwise(F.col("t"))
+            .alias("value")).write.text(out[kind])
+    return out
+
+
 def land_current(raw: DataFrame) -> tuple[str, str]:
     """Current payloads from the latest row per city: weather ``current`` and pollution ``list``."""
     from ..operators.select import latest_row

@@ -26,11 +26,9 @@ def backfill_job(spark: SparkSession, weather_path: str, air_path: str, out_root
     """Landed archive payloads -> readings (history index rule), written combined and per city;
     malformed records and rows without key/time go to ``quarantine``."""
     readings, rejected = ingest.read_archive(spark, weather_path, air_path, missing="zero")
-    valid, bad = ingest.quarantine_split(readings)
-    ingest.write_table(valid, f"{out_root}/readings")
+    ingest.write_table(readings, f"{out_root}/readings")
     ingest.write_per_city(spark.read.parquet(f"{out_root}/readings"), f"{out_root}/readings_by_city")
-    rejected.select("city", "reason").unionByName(bad.select("city", "reason")).write.mode("overwrite").parquet(
-        f"{out_root}/quarantine")
+    rejected.write.mode("overwrite").parquet(f"{out_root}/quarantine")
     return spark.read.parquet(f"{out_root}/readings")
 
 
@@ -88,9 +86,15 @@ def training_job(spark: SparkSession, model_root: str, store_path: str | None =
     return TrainingResult(metrics, select_best(metrics), fits)
 
 
-def forecast_job(spark: SparkSession, features: DataFrame, fits: dict, out_root: str) -> tuple[DataFrame, DataFrame]:
-    """Batch forecast per city x horizon from the latest row, and the alert report."""
-    by_target = {t: f for (name, t), f in fits.items()}
+def forecast_job(spark: SparkSession, features: DataFrame, fits: dict, out_root: str,
+                 best: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Batch forecast per city x horizon from the latest row, and the alert report. ``best`` (``select_best``)
+    names the model of each horizon; where it names none of the fits, the first fitted model is used."""
+    chosen = {r["horizon"]: r["model"] for r in best.collect()} if best is not None else {}  # one row a horizon
+    by_target = {}
+    for (name, t), f in fits.items():
+        if t not in by_target or name == chosen.get(horizon_label(t)):
+            by_target[t] = f
     fc = M.batch_forecast(features, by_target)
     fc.write.mode("overwrite").parquet(f"{out_root}/forecast")
     a = alert_level("aqi")

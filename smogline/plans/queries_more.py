@@ -88,11 +88,28 @@ def q_mixed_time(spark, sf):
     return ingest.read_readings_csv(spark, path)
 
 
-@register("quarantine")
+QUARANTINE_SQL = f"""
+WITH g AS (SELECT dayofyear(time) % 7 AS k, city, CAST(time AS DATE) AS d, count(*) AS n FROM ({RAW}) r GROUP BY 1, 2, 3),
+c AS (SELECT CASE k WHEN 0 THEN 'ragged or missing arrays' WHEN 2 THEN 'null time' WHEN 3 THEN 'null city'
+        WHEN 4 THEN 'unreadable record' END AS reason, CASE k WHEN 3 THEN n ELSE 1 END AS n FROM g WHERE k IN (0, 2, 3, 4)
+  UNION ALL SELECT 'valid' AS reason, CASE k WHEN 2 THEN n - 1 ELSE n END AS n FROM g WHERE k IN (1, 2, 5, 6))
+SELECT source, reason, CAST(sum(n) AS BIGINT) AS n FROM c CROSS JOIN (VALUES ('weather'), ('air')) s(source)
+GROUP BY 1, 2 HAVING sum(n) > 0"""
+
+
+@register("quarantine", QUARANTINE_SQL)
 def q_quarantine(spark, sf):
-    """S8 / null keys: rows that cannot be placed in a series, and malformed landed records."""
-    _valid, bad = ingest.quarantine_split(_rd(spark, sf))
-    return bad.select("city", "time", "reason")
+    """S8 / null keys on landed payloads with ragged, missing-array, bad-time, null-city and unreadable records:
+    rejected records and rows, and valid rows, per side (nothing is lost)."""
+    out = None
+    for kind, path in FX.land_malformed(raw_events(spark, sf)).items():
+        names = ingest.WEATHER_VARS if kind == "weather" else ingest.AIR_VARS
+        rows, bad = ingest.flatten_archive(ingest.read_json(spark, path, ingest.ARCHIVE_SCHEMAS[kind]), names)
+        valid, rejected = ingest.quarantine_side(rows, bad)
+        part = (rejected.select("reason").unionAll(valid.select(F.lit("valid").alias("reason")))
+                .groupBy("reason").agg(F.count("*").alias("n")).withColumn("source", F.lit(kind)))
+        out = part if out is None else out.unionByName(part)
+    return out.select("source", "reason", "n")
 
 
 # --- U1, K1-K6 ------------------------------------------------------------------------------------
@@ -370,7 +387,7 @@ _FITS: dict = {}
 def _fits(spark, sf, model: str) -> dict:
     """Per-horizon fits, shared by the model queries of one session (fitting is the costly part)."""
     from ..ml import models as M
-    key = (id(spark), sf, model)
+    key = (spark.sparkContext.applicationId, sf, model)
     if key not in _FITS:
         from ..session import cut_lineage
         feats = cut_lineage(_feats(spark, sf, complete=True), "model-features")
@@ -407,11 +424,12 @@ def q_train_forest(spark, sf):
 
 @register("model_select")
 def q_model_select(spark, sf):
-    """M6 + M5: best of persistence, ridge and boosted trees per horizon by test RMSE."""
+    """M6 + M5: best of persistence, ridge, forest and boosted trees per horizon by test RMSE."""
     from ..ml.models import persistence_metrics
     from ..session import cut_lineage
     m = persistence_metrics(cut_lineage(_feats(spark, sf, complete=True), "select-features"))
-    m = m.unionByName(_metrics_of(spark, sf, "ridge")).unionByName(_metrics_of(spark, sf, "gbt"))
+    for model in ("ridge", "forest", "gbt"):
+        m = m.unionByName(_metrics_of(spark, sf, model))
     return AG.select_best(m)
 
 
@@ -436,11 +454,12 @@ def q_batch_forecast(spark, sf):
 @register("model_listing")
 def q_model_listing(spark, sf):
     """M7 + M11: save each horizon's pipeline, reload it, list horizon -> artifact path."""
-    from ..ml.models import load_model
+    from ..ml.models import load_model, model_listing
     rows = []
-    for target, fit in _fits(spark, sf, "ridge").items():
-        path = scratch_path(spark, f"model-{target}")
-        fit.model.write().overwrite().save(path)
-        load_model(path)
-        rows.append((target.rsplit("_", 1)[-1], "ridge", path))
-    return spark.createDataFrame(rows, "horizon string, model string, path string").orderBy("horizon")
+    for model in ("forest", "gbt", "ridge"):
+        for target, fit in _fits(spark, sf, model).items():
+            path = scratch_path(spark, f"model-{model}-{target}")
+            fit.model.write().overwrite().save(path)
+            load_model(path)
+            rows.append((target.rsplit("_", 1)[-1], model, path))
+    return model_listing(spark.createDataFrame(rows, "horizon string, model string, path string"))

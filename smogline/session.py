@@ -49,6 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = sc.getConf().get("spark.checkpoint.dir", None)
     if conf:
         sc.setCheckpointDir(conf)
+    elif not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     else:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="smogline-ckpt-"))
     return sc.getCheckpointDir()

@@ -131,9 +131,9 @@ def readings_events_sql(missing: str = "skip") -> str:
 
 def readings_hot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lineitem readings folded into one series (a key holding every row): time = ship date plus
-    the supplier number in minutes, unique per (supplier, day) while suppliers < 1440."""
+    the supplier number in seconds, unique per (supplier, day) below 86,400 suppliers (sf 8)."""
     r = readings_lineitem(spark, sf_dir)
-    t = (F.col("time") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("city").cast("int"))).cast("timestamp_ntz")
+    t = (F.col("time") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("city").cast("int"))).cast("timestamp_ntz")
     return r.withColumn("time", t).withColumn("city", F.lit("all"))
 
 
@@ -160,5 +160,5 @@ def readings_lineitem_sql(missing: str = "skip") -> str:
 
 def readings_hot_series_sql() -> str:
     cols = ", ".join(c for c in READINGS_COLUMNS if c not in ("time", "city"))
-    return (f"SELECT time + to_minutes(CAST(city AS INTEGER)) AS time, 'all' AS city, {cols} "
+    return (f"SELECT time + to_seconds(CAST(city AS INTEGER)) AS time, 'all' AS city, {cols} "
             f"FROM ({readings_lineitem_sql()}) l")

@@ -52,6 +52,9 @@ CURRENT_POLLUTION_SCHEMA = T.StructType([
 ])
 
 
+UNREADABLE = "unreadable record"
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return (spark.read.schema(schema).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", CORRUPT).json(path))
@@ -66,20 +69,21 @@ def parse_time(col) -> Column:
 def flatten_archive(payload: DataFrame, names) -> tuple[DataFrame, DataFrame]:
     """Parallel arrays -> one row per hour (``inline(arrays_zip)``). Returns (rows, rejected).
 
-    A record whose arrays differ in length is rejected as a whole (``arrays_zip`` would pad with
-    nulls, the reference raises)."""
+    An absent variable array is a column of missing values. A record that cannot be read, has no time
+    array or whose arrays differ in length is rejected as a whole (``arrays_zip`` would pad with nulls)."""
     h = F.col("hourly")
-    sizes = [F.size(h["time"])] + [F.size(h[n]) for n in names]
+    n_time = F.size(h["time"])
     ragged = F.lit(False)
-    for s in sizes[1:]:
-        ragged = ragged | (s != sizes[0])
-    bad = F.col(CORRUPT).isNotNull() | h.isNull() | ragged
+    for n in names:
+        ragged = ragged | F.coalesce(F.size(h[n]) != n_time, F.lit(False))
+    bad = F.coalesce(F.col(CORRUPT).isNotNull() | h.isNull() | h["time"].isNull() | ragged, F.lit(True))
     ok = payload.filter(~bad)
-    rows = ok.select("city", F.inline(F.arrays_zip(h["time"].alias("time"), *[h[n].alias(n) for n in names])))
+    blank = F.array_repeat(F.lit(None).cast("double"), n_time)
+    rows = ok.select("city", F.inline(F.arrays_zip(h["time"].alias("time"),
+                                                   *[F.coalesce(h[n], blank).alias(n) for n in names])))
     rows = rows.withColumn("time", parse_time("time"))
-    rejected = payload.filter(bad).select(
-        "city", F.coalesce(F.col(CORRUPT), F.lit("ragged or missing arrays")).alias("reason"))
-    return rows, rejected
+    reason = F.when(F.col(CORRUPT).isNotNull(), F.lit(UNREADABLE)).otherwise(F.lit("ragged or missing arrays"))
+    return rows, payload.filter(bad).select("city", reason.alias("reason"), F.col(CORRUPT).alias("record"))
 
 
 def backfill_readings(weather_rows: DataFrame, air_rows: DataFrame, missing: str = "zero") -> DataFrame:
@@ -89,11 +93,27 @@ def backfill_readings(weather_rows: DataFrame, air_rows: DataFrame, missing: str
 
 
 def read_archive(spark: SparkSession, weather_path: str, air_path: str, missing: str = "zero"):
-    """S3 + S4 + J1 + P2. Returns (readings, rejected records)."""
+    """S3 + S4 + J1 + P2. Returns (readings, rejected): whole records and single rows without key or time of
+    both sides, split off before the join so that none gets lost in it."""
     w_rows, w_bad = flatten_archive(read_json(spark, weather_path, ARCHIVE_SCHEMAS["weather"]), WEATHER_VARS)
     a_rows, a_bad = flatten_archive(read_json(spark, air_path, ARCHIVE_SCHEMAS["air"]), AIR_VARS)
-    rejected = w_bad.withColumn("source", F.lit("weather")).unionByName(a_bad.withColumn("source", F.lit("air")))
-    return backfill_readings(w_rows, a_rows, missing), rejected
+    (w_ok, w_rejected), (a_ok, a_rejected) = quarantine_side(w_rows, w_bad), quarantine_side(a_rows, a_bad)
+    rejected = w_rejected.withColumn("source", F.lit("weather")).unionByName(
+        a_rejected.withColumn("source", F.lit("air")))
+    return backfill_readings(w_ok, a_ok, missing), rejected
+
+
+def quarantine_side(rows: DataFrame, bad_records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, rejected records and rows) of one archive side."""
+    valid, bad = quarantine_split(rows)
+    return valid, bad_records.unionByName(bad.select("city", "reason", F.lit(None).cast("string").alias("record")))
+
+
+def rejected_current(payload: DataFrame, field: str) -> DataFrame:
+    """S8 for current payloads: unreadable records, and records without a city or without ``field``."""
+    reason = (F.when(F.col(CORRUPT).isNotNull(), F.lit(UNREADABLE)).when(F.col("city").isNull(), F.lit("null city"))
+              .when(F.col(field).isNull(), F.lit(f"no {field}")))
+    return payload.select("city", reason.alias("reason"), F.col(CORRUPT).alias("record")).filter("reason is not null")
 
 
 def current_rows(weather: DataFrame, pollution: DataFrame, run_time) -> DataFrame:

@@ -32,10 +32,12 @@ def union_by_name(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def tag_batch(df: DataFrame, batch_seq: int | None = None, batch_col=None) -> DataFrame:
-    """Adds ``batch_seq`` (literal or column) and ``row_seq`` (input order inside the batch)."""
+def tag_batch(df: DataFrame, batch_seq: int | None = None, batch_col=None, order: str | None = None) -> DataFrame:
+    """Adds ``batch_seq`` (literal or column) and ``row_seq``: the column ``order`` if it is named, else the
+    order of the input partitions (arbitrary between equal keys that different files hold)."""
     b = F.lit(batch_seq).cast("long") if batch_col is None else batch_col.cast("long")
-    return df.withColumn(BATCH, b).withColumn(ROW, F.monotonically_increasing_id())
+    return df.withColumn(BATCH, b).withColumn(
+        ROW, F.col(order).cast("long") if order else F.monotonically_increasing_id())
 
 
 def last_wins(df: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = (BATCH, ROW),
@@ -66,12 +68,15 @@ def retain(df: DataFrame, hours: int = BUFFER_RETENTION_HOURS, time: str = "time
            reference: DataFrame | None = None) -> DataFrame:
     """K4: keep rows with time >= max(time) - hours (inclusive, global max, as the reference).
 
-    The cutoff is a literal, so the filter prunes month partitions and row groups of a Parquet log.
+    The cutoff is a literal, so the filter prunes row groups of a Parquet log, and its month partitions
+    where ``df`` still has the month column.
     ``reference`` may give a cheaper input with the same max time (e.g. the union before last-wins)."""
     cutoff = retention_cutoff(reference if reference is not None else df, hours, time)
     if cutoff is None:
         return df
-    return df.filter(F.col(time) >= ntz_lit(cutoff))
+    kept = df.filter(F.col(time) >= ntz_lit(cutoff))
+    # a log that still has its month partition is pruned by it
+    return kept.filter(F.col(MONTH) >= F.lit(cutoff.strftime("%Y-%m"))) if MONTH in df.columns else kept
 
 
 class KeyedTable:
@@ -88,27 +93,25 @@ class KeyedTable:
         return exists(self.spark, self.log_path)
 
     def batches(self) -> list[int]:
-        out = set()
-        for m in list_dirs(self.spark, self.log_path):
-            for b in list_dirs(self.spark, f"{self.log_path}/{m}"):
-                if b.startswith(f"{BATCH}="):
-                    out.add(int(b.split("=", 1)[1]))
-        return sorted(out)
+        return sorted(int(b.split("=", 1)[1]) for b in list_dirs(self.spark, self.log_path)
+                      if b.startswith(f"{BATCH}="))
 
     def next_batch(self) -> int:
         b = self.batches()
         return (b[-1] + 1) if b else 0
 
-    def insert(self, df: DataFrame, batch_seq: int | None = None) -> int:
-        """K1: append one batch. Idempotent per ``batch_seq`` (dynamic partition overwrite)."""
+    def insert(self, df: DataFrame, batch_seq: int | None = None, order: str | None = None) -> int:
+        """K1: append one batch. A batch owns one folder (``batch_seq=n``), which a replay overwrites whole, so
+        months that the replay no longer has go too. ``order`` names a column that orders equal keys within
+        the batch; without it their order is that of the input partitions."""
         seq = self.next_batch() if batch_seq is None else int(batch_seq)
-        tagged = tag_batch(df, seq).withColumn(MONTH, F.date_format(F.col(self.time), "yyyy-MM"))
-        (tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(MONTH, BATCH).parquet(self.log_path))
+        tagged = tag_batch(df, seq, order=order).withColumn(MONTH, F.date_format(F.col(self.time), "yyyy-MM"))
+        (tagged.drop(BATCH).write.mode("overwrite").option("partitionOverwriteMode", "static")
+         .partitionBy(MONTH).parquet(f"{self.log_path}/{BATCH}={seq}"))
         return seq
 
     def log(self) -> DataFrame:
-        return self.spark.read.parquet(self.log_path)
+        return self.spark.read.parquet(self.log_path).withColumn(BATCH, F.col(BATCH).cast("long"))
 
     def current(self, since=None) -> DataFrame:
         """K2 view. ``since`` (a timestamp) prunes month partitions before the last-wins step."""

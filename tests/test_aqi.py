@@ -1,4 +1,4 @@
-"""P1/P2/P13 on every bucket edge, both sides of every gap, null, NaN, negative, above top, .5 ties."""
+"""P1/P2/P13 against literal values: bucket edges, gaps, null, NaN, negative, above top, .5 ties."""
 
 import math
 
@@ -8,16 +8,15 @@ from pyspark.sql import functions as F
 from smogline.functions import aqi as AQ
 
 
-def py_sub(c, table):
-    """Plain-Python statement of the rule (written from the semantics, not from the reference)."""
-    if c is None:
-        return None
-    if isinstance(c, float) and math.isnan(c):
-        return 0
-    for lo, hi, alo, ahi in table:
-        if lo <= c <= hi:
-            return round((ahi - alo) / (hi - lo) * (c - lo) + alo)
-    return 500 if c > table[-1][1] else 0
+# Concentrations and the sub-indices that the published tables give for them, worked out by hand
+# (bucket ends are the tables' own; between buckets and below zero the index is 0, above the top it is 500).
+PM25_PAIRS = [(None, None), (float("nan"), 0), (-1.0, 0), (0.0, 0), (3.0, 12), (6.0, 25), (12.0, 50), (12.05, 0), (12.1, 51),
+              (23.75, 76), (35.4, 100), (35.45, 0), (35.5, 101), (55.4, 150), (55.45, 0), (55.5, 151), (150.4, 200),
+              (150.45, 0), (150.5, 201), (250.4, 300), (250.5, 301), (350.4, 400), (350.5, 401), (500.4, 500),
+              (500.5, 500), (1e9, 500)]
+PM10_PAIRS = [(None, None), (float("nan"), 0), (-0.5, 0), (0.0, 0), (27.0, 25), (54.0, 50), (54.5, 0), (55.0, 51), (154.0, 100),
+              (154.5, 0), (155.0, 101), (254.0, 150), (255.0, 151), (354.0, 200), (355.0, 201), (424.0, 300), (425.0, 301),
+              (504.0, 400), (505.0, 401), (604.0, 500), (605.0, 500)]
 
 
 def edge_values(table):
@@ -27,29 +26,22 @@ def edge_values(table):
     return vals
 
 
-@pytest.mark.parametrize("name", ["pm25", "pm10"])
-def test_sub_index_edges(spark, name):
-    table = AQ.TABLES[name]
-    vals = edge_values(table)
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, c double")
+@pytest.mark.parametrize("name,pairs", [("pm25", PM25_PAIRS), ("pm10", PM10_PAIRS)])
+def test_sub_index_pairs(spark, name, pairs):
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(pairs)], "i int, c double")
     got = {r["i"]: r["s"] for r in df.select("i", AQ.sub_index("c", name).alias("s")).collect()}
-    for i, v in enumerate(vals):
-        assert got[i] == py_sub(v, table), (v, got[i])
+    assert [got[i] for i in range(len(pairs))] == [s for _, s in pairs]
 
 
 def test_half_even_ties(spark):
-    # PM10 bucket 1 slope is 50/54; c = 27 * 54 / 50 gives exactly... pick values whose index is x.5
-    rows = []
-    for lo, hi, alo, ahi in AQ.PM10_BREAKPOINTS:
-        slope = (ahi - alo) / (hi - lo)
-        for k in range(alo, ahi):
-            c = lo + (k + 0.5 - alo) / slope
-            if lo <= c <= hi and (slope * (c - lo) + alo) % 1 == 0.5:
-                rows.append((c,))
-    assert rows, "expected exact .5 ties"
-    df = spark.createDataFrame(rows, "c double")
-    for r in df.select("c", AQ.sub_index("c", "pm10").alias("s")).collect():
-        assert r["s"] == py_sub(r["c"], AQ.PM10_BREAKPOINTS)
+    """3.24 x 50 / 54 = 3 exactly; a quarter and three quarters of a 50-step give ties at .5."""
+    # (concentration, index before rounding, rounded half to even); slope 50 / 54 of the first PM10 bucket
+    ties = [(0.54, 0), (1.62, 2), (2.7, 2), (3.78, 4), (4.86, 4)]
+    df = spark.createDataFrame([(c,) for c, _ in ties], "c double")
+    got = [r["s"] for r in df.select("c", AQ.sub_index("c", "pm10").alias("s")).collect()]
+    for (c, even), s in zip(ties, got):
+        exact = 50 / 54 * c
+        assert s == (even if exact % 1 == 0.5 else math.floor(exact + 0.5)), (c, s)
 
 
 def test_aqi_missing_modes(spark):
@@ -57,7 +49,7 @@ def test_aqi_missing_modes(spark):
                                "a double, b double")
     live = [r[0] for r in df.select(AQ.aqi("a", "b", missing="skip")).collect()]
     hist = [r[0] for r in df.select(AQ.aqi("a", "b", missing="zero")).collect()]
-    assert live == [None, py_sub(10.0, AQ.PM25_BREAKPOINTS), py_sub(60.0, AQ.PM10_BREAKPOINTS), 28, 500]
+    assert live == [None, 42, 53, 28, 500]
     assert hist == [0, live[1], live[2], 28, 500]
 
 
