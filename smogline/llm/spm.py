@@ -33,7 +33,8 @@ from .common import ranges, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 64 << 20
-CACHE = 600_000
+CACHE = 400_000
+SEGMENT = 30_000     # cuts that are indexed at once
 GROUP = 1 << 21
 BLANK = "▁"
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
@@ -222,7 +223,9 @@ class Vocab:
         where = list(map(t["cuts"].known.get, cuts))
         if None in where:
             fresh = list(dict.fromkeys(c for c, w in zip(cuts, where) if w is None))
-            t["cuts"].add(fresh, *self._segment(fresh))
+            for k in range(0, len(fresh), SEGMENT):
+                part = fresh[k:k + SEGMENT]
+                t["cuts"].add(part, *self._segment(part))
             where = list(map(t["cuts"].known.get, cuts))
         ids, lens = t["cuts"].get(np.array(where, dtype=np.int64))
         total = np.concatenate([[0], np.cumsum(lens)])
