@@ -35,7 +35,7 @@ from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceWrit
                                     GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual,
                                     StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage)
 
-from .common import scratch_path, table
+from .common import checked_broadcast, scratch_path, table
 
 SCHEMA = ("warc_type string, record_id string, target_uri string, refers_to string, payload_digest string, "
           "payload_bytes long, content_length long, payload binary")
@@ -289,10 +289,11 @@ def as_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     is a response, the others revisit it."""
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
-    # only payloads that occur again are joined; their keys are pre-aggregated
+    # only payloads that occur again are joined; their keys are pre-aggregated, and while they are few (counted)
+    # no payload is shuffled
     again = (rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha")
              .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first"))
-    out = rows.join(again, "sha", "left").withColumn(
+    out = rows.join(checked_broadcast(again), "sha", "left").withColumn(
         "revisit", F.col("first").isNotNull() & F.col("page_id").isNotNull() & (F.col("page_id") != F.col("first")))
     return out.select(F.col("page_id").cast("string").alias("record_id"), F.col("url").alias("target_uri"),
                       F.when(F.col("revisit"), "revisit").otherwise("response").alias("warc_type"),
