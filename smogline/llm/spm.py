@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +34,11 @@ from .common import ranges, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 64 << 20
-CACHE = 400_000
+CACHE = 300_000
 SEGMENT = 30_000     # cuts that are indexed at once
-GROUP = 1 << 21
+GROUP = 1 << 19
+ROWS = 1024          # texts that are Python strings at once
+TOKENS = 1 << 16     # ids whose bytes are gathered at once
 BLANK = "▁"
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 MEMO = 1 << 20
@@ -347,6 +350,25 @@ class Vocab:
         text = b"".join([raw[i] for i in ids] if ids is not None else []).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
+    def decode_rows(self, ids: np.ndarray, offsets: np.ndarray) -> Iterator[list[str]]:
+        """The texts of rows of ids (row i: offsets[i] to offsets[i + 1]), some rows at a time; as ``decode``, with
+        the bytes of all ids gathered at once."""
+        t = self.ready()
+        if "bytes_flat" not in t:
+            size = np.array([len(b) for b in t["raw"]], dtype=np.int64)
+            t |= {"bytes_flat": np.frombuffer(b"".join(t["raw"]), dtype=np.uint8), "bytes_len": size,
+                  "bytes_first": np.cumsum(size) - size}
+        lo = 0
+        while lo + 1 < len(offsets):
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + TOKENS, "right")) - 1)
+            some = ids[offsets[lo]:offsets[hi]]
+            size = t["bytes_len"][some]
+            raw = t["bytes_flat"][ranges(t["bytes_first"][some], size)].tobytes()
+            at = np.concatenate([[0], np.cumsum(size)])[offsets[lo:hi + 1] - offsets[lo]].tolist()
+            skip = [a + (self.dummy_prefix and raw[a:a + 1] == b" " and a < b) for a, b in zip(at[:-1], at[1:])]
+            yield [raw[a:b].decode("utf-8", "replace") for a, b in zip(skip, at[1:])]
+            lo = hi
+
 
 class _Table:
     """Strings with their ids, gathered by position."""
@@ -440,23 +462,55 @@ def load(path: str = MODEL) -> Vocab:
         return Vocab.parse(f.read())
 
 
+def encoded(vocab: Vocab, text: pa.Array) -> Iterator[tuple[list[str | None], np.ndarray, np.ndarray]]:
+    """(texts, offsets, ids), some rows at a time."""
+    for k in range(0, len(text), ROWS):
+        texts = text[k:k + ROWS].to_pylist()
+        yield texts, *vocab.encode(texts)
+
+
+def lists(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    size = [np.diff(offsets) for offsets, _ in parts]
+    offsets = np.cumsum(np.concatenate([np.zeros(1, dtype=np.int64), *size]))
+    ids = np.concatenate([np.zeros(0, dtype=np.int32), *(ids for _, ids in parts)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+
+
 def codec(spark: SparkSession, path: str = MODEL):
     """Column functions (encode: text -> array<int>, decode: array<int> -> text)."""
     held = spark.sparkContext.broadcast(load(path))
 
     @F.arrow_udf("array<int>")
     def encode(text: pa.Array) -> pa.Array:
-        offsets, ids = held.value.encode(text.to_pylist())
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+        return lists([(offsets, ids) for _, offsets, ids in encoded(held.value, text)])
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
-        flat, off = ids.flatten().to_pylist(), ids.offsets.to_numpy() - ids.offsets[0].as_py() if len(ids) else []
-        return pa.array([held.value.decode(flat[off[i]:off[i + 1]]) for i in range(len(ids))], pa.string())
+        size = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        parts = [pa.array(p, pa.string()) for p in held.value.decode_rows(ids.flatten().to_numpy(), offsets)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return (lambda c: encode(c)), (lambda c: decode(c))
 
 
+def round_trip(spark: SparkSession, path: str = MODEL):
+    """Column function text -> struct of token_ids and round_trip (the ids decode to the text). One function, as
+    two chained ones would encode every text twice."""
+    held = spark.sparkContext.broadcast(load(path))
+
+    @F.arrow_udf("struct<token_ids: array<int>, round_trip: boolean>")
+    def run(text: pa.Array) -> pa.Array:
+        parts, same = [], []
+        for texts, offsets, ids in encoded(held.value, text):
+            back = (t for some in held.value.decode_rows(ids, offsets) for t in some)
+            same += [b == (t or "").replace(BLANK, " ") for t, b in zip(texts, back, strict=True)]
+            parts.append((offsets, ids))
+        return pa.StructArray.from_arrays([lists(parts), pa.array(same, pa.bool_())], ["token_ids", "round_trip"])
+
+    return lambda c: run(c)
+
+
 def with_tokens(docs: DataFrame, path: str = MODEL, ids: str = "token_ids", count: str = "n_tokens") -> DataFrame:
     encode, _ = codec(docs.sparkSession, path)
     return docs.withColumn(ids, encode(F.col("text"))).withColumn(count, F.size(ids))
@@ -464,7 +518,5 @@ def with_tokens(docs: DataFrame, path: str = MODEL, ids: str = "token_ids", coun
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids, round_trip (the ids decode to the text) for every document."""
-    encode, decode = codec(spark)
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("token_ids", encode(F.col("text")))
-    same = decode(F.col("token_ids")) == F.translate(F.coalesce("text", F.lit("")), BLANK, " ")
-    return docs.select("doc_id", F.size("token_ids").alias("n_tokens"), "token_ids", same.alias("round_trip"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("found", round_trip(spark)(F.col("text")))
+    return docs.select("doc_id", F.size("found.token_ids").alias("n_tokens"), "found.token_ids", "found.round_trip")

@@ -281,3 +281,16 @@ def test_warc_records_read_back():
     assert [b[7] for b in skipped] == [None] * 3 and skipped[0][5] == len(rows[0][4])
     with pytest.raises(EOFError):
         list(warc.read_records(io.BytesIO(raw[:40]), 0, 40, lambda head: True, True))
+
+
+def test_rows_decode_as_single_texts(monkeypatch):
+    vocab = spm.load()
+    texts = ["", "one  two", None, " lead", "tail ", "日本語 ☃ \U0001F600", "x" * 300, "a\nb\tc"]
+    offsets, ids = vocab.encode(texts)
+    ids = np.concatenate([ids, vocab.encode(["\U0001F600"])[1][:-1]])     # a row that ends inside a code point
+    offsets = np.append(offsets, len(ids))
+    want = [vocab.decode(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+    assert want[:-1] == [t or "" for t in texts]
+    for tokens in (1, 7, 1 << 16):
+        monkeypatch.setattr(spm, "TOKENS", tokens)
+        assert [t for some in vocab.decode_rows(ids, offsets) for t in some] == want
