@@ -23,10 +23,8 @@ def tail_per_series(df: DataFrame, n_col: str, key: str = "city", time: str = "t
 
 
 def latest_row(df: DataFrame, key: str = "city", time: str = "time") -> DataFrame:
-    """L2: the row with the largest time per series (hash aggregate with partial aggregation)."""
-    others = [c for c in df.columns if c != key]
-    g = df.groupBy(key).agg(F.max_by(F.struct(*others), F.col(time)).alias("_r"))
-    return g.select(key, *[F.col("_r")[c].alias(c) for c in others]).select(*df.columns)
+    """L2: the row with the largest time per series (one row per series leaves each map task, as in ``tail_n``)."""
+    return tail_n(df, 1, key, time)
 
 
 def city_series(df: DataFrame, city: str, key: str = "city", time: str = "time") -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.paths import exists, list_dirs
@@ -44,15 +44,11 @@ def last_wins(df: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] =
               drop_order: bool = True) -> DataFrame:
     """K2: one row per key, the one with the highest ``order``.
 
-    Written as ``max_by(struct(row), struct(order))`` per key: a hash aggregate with map-side partial
-    aggregation, so a repeated key never needs its duplicates in one place before the shuffle.
+    Written as ``row_number() = 1`` per key: one shuffle by key, before which a ``WindowGroupLimit`` keeps one
+    row per key and map task, so a key that is repeated often does not meet in one task.
     """
-    keys = list(keys)
-    others = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(
-        F.max_by(F.struct(*[F.col(c) for c in others]), F.struct(*[F.col(c) for c in order])).alias("_r"))
-    out = picked.select(*keys, *[F.col("_r")[c].alias(c) for c in others])
-    out = out.select(*df.columns)
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    out = df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1).drop("_rk")
     return out.drop(*order) if drop_order else out
 
 
