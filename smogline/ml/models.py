@@ -74,7 +74,11 @@ def build_pipeline(train: DataFrame, model_name: str = "gbt", label: str = "targ
     dropped = [c for c, (nn, n) in prof.items() if nn == 0]
     nums = [c for c in nums if c not in dropped]
     with_nulls = [c for c, (nn, n) in prof.items() if 0 < nn < n]
-    stages = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep") for c in cats]
+    # casts and missing flags are a stage, so that a saved model scores plain feature rows
+    stages = [SQLTransformer(statement="SELECT *, " + ", ".join(
+        [f"CAST(`{c}` AS DOUBLE) AS `{c}_num`" for c in nums]
+        + [f"CAST(`{c}` IS NULL AS DOUBLE) AS `{c}_missing`" for c in with_nulls]) + " FROM __THIS__")]
+    stages += [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep") for c in cats]
     # any number of categories: trees see the mean label of a category, linear models its indicator
     if model_name == "ridge":
         stages.append(OneHotEncoder(inputCols=[f"{c}_idx" for c in cats], outputCols=[f"{c}_enc" for c in cats],
@@ -86,22 +90,14 @@ def build_pipeline(train: DataFrame, model_name: str = "gbt", label: str = "targ
         stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(
             f"{c}_enc + 0D AS {c}_mean" for c in cats) + " FROM __THIS__"))
     imputed = [f"{c}_imp" for c in nums]
-    stages.append(Imputer(inputCols=nums, outputCols=imputed, strategy="mean"))
+    stages.append(Imputer(inputCols=[f"{c}_num" for c in nums], outputCols=imputed, strategy="mean"))
     inputs = [f"{c}_{'enc' if model_name == 'ridge' else 'mean'}" for c in cats] + imputed + [f"{c}_missing" for c in with_nulls]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
     reg = MODELS[model_name](**params)
     reg.setFeaturesCol("features").setLabelCol(label).setPredictionCol("pred_delta")
     stages.append(reg)
     names = cats + nums + [f"{c}_missing" for c in with_nulls]
-    return Pipeline(stages=stages), names, dropped, with_nulls
-
-
-def add_missing_flags(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.withColumns({f"{c}_missing": F.col(c).isNull().cast("double") for c in cols})
-
-
-def _cast_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("double") for c in cols if c in df.columns})
+    return Pipeline(stages=stages), names, dropped
 
 
 def fit_horizon(features: DataFrame, target: str, model_name: str = "gbt", fraction: float = 0.8,
@@ -113,13 +109,11 @@ def fit_horizon(features: DataFrame, target: str, model_name: str = "gbt", fract
     # a label needs the current index too (delta = target - aqi); rows without it cannot be fitted
     train = split.filter(F.col("is_train") & F.col("target_delta").isNotNull())
     test = split.filter(~F.col("is_train"))
-    pipe, names, dropped, with_nulls = build_pipeline(train, model_name, **params)
-    nums = [n for n in names if n not in CATEGORICAL_COLUMNS and not n.endswith("_missing")]
-    prep = lambda d: add_missing_flags(_cast_numeric(d, nums), with_nulls)
-    model = pipe.fit(prep(train))
+    pipe, names, dropped = build_pipeline(train, model_name, **params)
+    model = pipe.fit(train)
     if model_path:
         model.write().overwrite().save(model_path)
-    pred = model.transform(prep(test))
+    pred = model.transform(test)
     pred = pred.select("city", "time", "aqi", F.col(target).alias("y_true"),
                        forecast_from_delta("aqi", "pred_delta").alias("y_pred"))
     pred = pred.withColumn("horizon", F.lit(horizon_label(target))).withColumn("model", F.lit(model_name))
@@ -164,18 +158,21 @@ def scoring_rows(features: DataFrame, key: str = "city") -> DataFrame:
     return latest_row(tf, key)
 
 
-def batch_forecast(features: DataFrame, fits: dict[str, HorizonFit]) -> DataFrame:
-    """M9: every city x horizon from its latest row; long table (city, time, horizon, forecast)."""
+def saved_models(metrics: DataFrame, targets=TARGETS) -> dict[str, PipelineModel]:
+    """The best saved model of every horizon that has one, loaded by its path in the metrics table."""
+    saved = metrics.filter(F.col("path").isNotNull())
+    best = select_best(saved).select("horizon", "model").join(saved, ["horizon", "model"])
+    path = {r["horizon"]: r["path"] for r in best.select("horizon", "path").collect()}  # one row a horizon
+    return {t: load_model(path[horizon_label(t)]) for t in targets if horizon_label(t) in path}
+
+
+def batch_forecast(features: DataFrame, fits: dict[str, HorizonFit | PipelineModel]) -> DataFrame:
+    """M9: every city x horizon from its latest row; long table (city, time, horizon, forecast). ``fits`` has
+    the fit or the loaded model of each target."""
     rows = scoring_rows(features)
     out = None
     for target, fit in fits.items():
-        nums = [n for n in fit.features if n not in CATEGORICAL_COLUMNS and not n.endswith("_missing")]
-        flags = [n[: -len("_missing")] for n in fit.features if n.endswith("_missing")]
-        d = add_missing_flags(_cast_numeric(rows, nums), flags)
-        for c in fit.dropped:
-            if c not in d.columns:
-                d = d.withColumn(c, F.lit(None).cast("double"))
-        p = fit.model.transform(d).select(
+        p = getattr(fit, "model", fit).transform(rows).select(
             "city", "time", F.lit(horizon_label(target)).alias("horizon"),
             forecast_from_delta("aqi", "pred_delta").alias("forecast"))
         out = p if out is None else out.unionByName(p)
@@ -188,4 +185,4 @@ def model_listing(metrics: DataFrame) -> DataFrame:
 
 
 __all__ = ["fit_horizon", "persistence_metrics", "feature_importance", "batch_forecast", "select_best",
-           "load_model", "model_listing", "MODELS", "GBT_PARAMS"]
+           "load_model", "saved_models", "model_listing", "MODELS", "GBT_PARAMS"]

@@ -104,6 +104,16 @@ def forecast_job(spark: SparkSession, features: DataFrame, fits: dict, out_root:
     return spark.read.parquet(f"{out_root}/forecast"), spark.read.parquet(f"{out_root}/alerts")
 
 
+def forecast_saved_job(spark: SparkSession, model_root: str, features_path: str, out_root: str):
+    """``forecast_job`` from disk: the best saved model of each horizon by the metrics table of
+    ``training_job``, over a keyed feature table or a plain one (e.g. the live features)."""
+    features = read_with_fallback(spark, features_path, spark.createDataFrame([], FEATURES_SCHEMA), None)
+    models = M.saved_models(spark.read.parquet(f"{model_root}/metrics"))
+    if not models:
+        raise FileNotFoundError(f"no saved model in {model_root}/metrics")
+    return forecast_job(spark, features, {("saved", t): m for t, m in models.items()}, out_root)
+
+
 def main(argv=None) -> None:
     from ..session import get_spark
     p = argparse.ArgumentParser(prog="smogline.plans.jobs")
@@ -114,6 +124,7 @@ def main(argv=None) -> None:
     lv.add_argument("--history")
     t = sub.add_parser("train"); t.add_argument("models_dir"); t.add_argument("--store"); t.add_argument("--batch")
     t.add_argument("--live"); t.add_argument("--models", default="gbt")
+    fc = sub.add_parser("forecast"); fc.add_argument("models_dir"); fc.add_argument("features"); fc.add_argument("out")
     a = p.parse_args(argv)
     spark = get_spark()
     if a.job == "backfill":
@@ -122,6 +133,8 @@ def main(argv=None) -> None:
         print(feature_job(spark, a.readings, a.store))
     elif a.job == "live":
         live_job(spark, a.landing, a.state, a.checkpoint, a.history)
+    elif a.job == "forecast":
+        print(forecast_saved_job(spark, a.models_dir, a.features, a.out)[0].count())
     elif a.job == "train":
         res = training_job(spark, a.models_dir, a.store, a.batch, a.live, models=tuple(a.models.split(",")))
         for r in res.metrics.collect():
@@ -132,4 +145,5 @@ if __name__ == "__main__":
     main()
 
 
-__all__ = ["backfill_job", "feature_job", "live_job", "training_job", "forecast_job", "horizon_label"]
+__all__ = ["backfill_job", "feature_job", "live_job", "training_job", "forecast_job",
+           "forecast_saved_job", "horizon_label"]

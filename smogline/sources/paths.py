@@ -23,6 +23,7 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
 
 
-def touch(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder that the caller owns; an absent one is no error."""
     fs, p = _fs(spark, path)
-    fs.create(p, True).close()
+    fs.delete(p, True)

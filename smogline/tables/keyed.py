@@ -2,9 +2,11 @@
 
 Layout: an append-only log under ``<path>/log`` partitioned by ``month`` of the event time, every row
 tagged with the ``batch_seq`` of its insert and a ``row_seq`` inside the batch. The current table is
-the last-wins view over the log (highest ``batch_seq``, then highest ``row_seq`` per key); compaction
-writes that view as a new snapshot. Inserts are idempotent per ``batch_seq``: re-running a batch
-overwrites only its own partition directory.
+the last-wins view over the log (highest ``batch_seq``, then highest ``row_seq`` per key). Compaction
+writes that view as ``<path>/snapshot/upto=<batch_seq>``; from then on the view reads the newest whole
+snapshot and only the later batches of the log. Inserts are idempotent per ``batch_seq``: re-running a
+batch overwrites only its own folder, and snapshots that hold the batch are removed first. The log
+itself stays whole, so a snapshot can always be made again.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.paths import exists, list_dirs
+from ..sources.paths import exists, list_dirs, remove
 from ..functions.calendar import ntz_lit
 
 BATCH = "batch_seq"
@@ -101,6 +103,9 @@ class KeyedTable:
         months that the replay no longer has go too. ``order`` names a column that orders equal keys within
         the batch; without it their order is that of the input partitions."""
         seq = self.next_batch() if batch_seq is None else int(batch_seq)
+        for upto in self.snapshots():
+            if upto >= seq:
+                remove(self.spark, self._snapshot_path(upto))
         tagged = tag_batch(df, seq, order=order).withColumn(MONTH, F.date_format(F.col(self.time), "yyyy-MM"))
         (tagged.drop(BATCH).write.mode("overwrite").option("partitionOverwriteMode", "static")
          .partitionBy(MONTH).parquet(f"{self.log_path}/{BATCH}={seq}"))
@@ -111,18 +116,35 @@ class KeyedTable:
 
     def current(self, since=None) -> DataFrame:
         """K2 view. ``since`` (a timestamp) prunes month partitions before the last-wins step."""
-        log = self.log()
+        return self._view(since).drop(BATCH, ROW)
+
+    def _view(self, since=None) -> DataFrame:
+        """The current rows with the batch and row numbers of their insert."""
+        rows, snapshots = self.log(), self.snapshots()
+        if snapshots:
+            held = self.spark.read.parquet(self._snapshot_path(snapshots[-1]))
+            rows = union_by_name(held, rows.filter(F.col(BATCH) > snapshots[-1]))
         if since is not None:
-            log = log.filter(F.col(MONTH) >= F.lit(since.strftime("%Y-%m"))).filter(
+            rows = rows.filter(F.col(MONTH) >= F.lit(since.strftime("%Y-%m"))).filter(
                 F.col(self.time) >= ntz_lit(since))
-        return last_wins(log.drop(MONTH), self.keys)
+        return last_wins(rows.drop(MONTH), self.keys, drop_order=False)
 
-    def compact(self, out_path: str) -> DataFrame:
-        """K3: write the current view as a snapshot, partitioned by month."""
-        cur = self.current()
-        (cur.withColumn(MONTH, F.date_format(F.col(self.time), "yyyy-MM")).write.mode("overwrite")
-         .partitionBy(MONTH).parquet(out_path))
-        return self.spark.read.parquet(out_path).drop(MONTH)
+    def _snapshot_path(self, upto: int) -> str:
+        return f"{self.path}/snapshot/upto={upto}"
+
+    def snapshots(self) -> list[int]:
+        """Last batches of the snapshots that are written whole, in order."""
+        found = sorted(int(d.split("=", 1)[1]) for d in list_dirs(self.spark, f"{self.path}/snapshot")
+                       if d.startswith("upto="))
+        return [n for n in found if exists(self.spark, f"{self._snapshot_path(n)}/_SUCCESS")]
+
+    def compact(self) -> DataFrame:
+        """K3: write the current view as the snapshot that later reads start from, partitioned by month."""
+        upto = self.batches()[-1]
+        if upto not in self.snapshots():
+            (self._view().withColumn(MONTH, F.date_format(F.col(self.time), "yyyy-MM")).write.mode("overwrite")
+             .partitionBy(MONTH).parquet(self._snapshot_path(upto)))
+        return self.current()
 
 
 def seed_buffer(history: DataFrame, hours: int = BUFFER_RETENTION_HOURS) -> DataFrame:
@@ -139,11 +161,13 @@ def upsert_buffer(buffer: DataFrame, new_rows: DataFrame, hours: int = BUFFER_RE
 
 def read_with_fallback(spark: SparkSession, store_path: str | None, batch: DataFrame,
                        live: DataFrame | None, keys: Sequence[str] = KEYS) -> DataFrame:
-    """K6: the store if present, else the batch table plus live rows, last wins (live after batch).
+    """K6: the store if present (a keyed table by its current view, else plain Parquet), else the batch
+    table plus live rows, last wins (live after batch).
 
     A live row (null targets) replaces a labelled batch row with the same key, as in the reference."""
     if store_path and exists(spark, store_path):
-        return spark.read.parquet(store_path)
+        store = KeyedTable(spark, store_path, keys)
+        return store.current() if store.exists() else spark.read.parquet(store_path)
     if live is None:
         return batch
     both = union_by_name(tag_batch(batch, 0), tag_batch(live, 1))

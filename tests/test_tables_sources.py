@@ -41,8 +41,18 @@ def test_keyed_table_insert_is_idempotent(spark, readings):
     assert cur.count() == readings.count()
     diff = cur.join(readings.select("city", "time", F.col("pm2_5").alias("p0")), ["city", "time"])
     assert diff.filter(F.col("pm2_5").isNotNull() & (F.col("pm2_5") != F.col("p0") + 1)).count() == 0
-    snap = table.compact(scratch_path(spark, "t-snap"))
-    assert snap.count() == readings.count()
+    assert table.compact().count() == readings.count()
+    last = table.batches()[-1]
+    assert table.snapshots() == [last]
+    # reads start from the snapshot: later batches win, and only they are read from the log
+    newer = readings.limit(3).withColumn("pm2_5", F.lit(-7.0))
+    table.insert(newer)
+    seen = table.current()
+    assert seen.count() == readings.count() and seen.filter("pm2_5 = -7").count() == 3
+    # a replayed batch removes the snapshot that holds it; the view is that of the whole log
+    table.insert(readings.limit(0), last)
+    assert table.snapshots() == []
+    assert table.current().filter("pm2_5 = -7").count() == 3
 
 
 def test_retention_inclusive_global_cutoff(spark, readings):
