@@ -63,6 +63,25 @@ def test_line_signatures_meet_for_all_near_pairs():
         assert any((int(x ^ y) >> bits * g) & ((1 << bits) - 1) == 0 for g in range(5))
 
 
+def test_long_lines_are_near_by_their_share():
+    """Long lines with all allowed edits share a run key, pass the count test and are near; one word is no cut."""
+    rng = random.Random(6)
+    for _ in range(150):
+        a = random_text(rng, rng.randint(60, 700), "abcdefghijklmnop ")
+        k = int(linededup.allowed(len(a)))
+        b = edited(rng, a, rng.randint(k // 2, k), "abcdefghijklmnop ")
+        dist, limit = edit_distance(a, b), int(linededup.allowed(max(len(a), len(b))))
+        assert linededup.near([a], [b]).tolist() == [dist <= limit]
+        x, y = linededup.letter_counts([a, b])
+        assert linededup.count_gap(x[None], y[None])[0] <= 2 * dist
+        if dist <= limit and max(len(a), len(b)) >= linededup.long_from():
+            keys, rows = linededup.run_keys([a, b])
+            assert set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist())
+    line = "The committee met on Tuesday and agreed that the report should be published before the end of the month."
+    assert linededup.near([line], [line.replace("Tuesday", "Sunday")]).all() and not linededup.within(
+        [line], [line.replace("Tuesday", "Sunday")]).any()
+
+
 def test_simhash_against_plain_form():
     import xxhash
 

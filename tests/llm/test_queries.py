@@ -183,6 +183,18 @@ def test_line_dedup_against_brute_force(spark, bucket_rows, monkeypatch):
     assert len(links) > 20
 
 
+@pytest.mark.parametrize("bucket_rows", [64, 1])
+def test_long_lines_lose_their_near_copies(spark, bucket_rows, monkeypatch):
+    monkeypatch.setattr(linededup, "BUCKET_ROWS", bucket_rows)
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(2, 9))))
+    bases = [" ".join(word() for _ in range(int(rng.integers(40, 90)))) for _ in range(12)]
+    other = [b.replace(b.split()[9], "replaced", 1) for b in bases]
+    docs = [(i, b) for i, b in enumerate(bases)] + [(100 + i, f"{b}\nown {i}") for i, b in enumerate(other)]
+    got = {r["doc_id"]: r["text"] for r in linededup.drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: b for i, b in enumerate(bases)} | {100 + i: f"own {i}" for i in range(12)}
+
+
 def test_kneser_against_plain_model(spark):
     """Perplexities against a dictionary form of interpolated modified Kneser-Ney."""
     texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "on and on and on", "zebra"]
