@@ -4,9 +4,9 @@ A document is contaminated by an item when some stretch of it is within ``rate``
 of the whole item (letters lower-cased, runs of blanks as one blank).
 
 1. Windows. A stretch within k edits of an item of L letters shares at least L + 1 - q (k + 1) of its q-grams
-   (the q-gram lemma). Ten-grams of a batch are looked up in a bitmap of the items' grams, and a running sum
-   of the hits keeps only item-sized windows at word starts that reach the smallest such number: a test
-   without losses, all in numpy.
+   (the q-gram lemma). Ten-grams of a batch are looked up in a bitmap of the items' grams; every hit votes for
+   the begin of the item that its place in it implies, and begins with so many votes of one item and document
+   within 2 k letters are kept: a test without losses, all in numpy, at any letter of the text.
 2. CGK embedding. A window is walked by random bits r(step, letter): each step writes the letter at hand and
    moves on by the bit, which maps edit distance to Hamming distance of the written strings.
 3. Bit sampling. Each of ``R`` repetitions has a walk of its own and samples ``K`` written letters as an LSH
@@ -188,10 +188,11 @@ def build(items: list[tuple[int, str]], rate: float = RATE, recall: float = RECA
         keys = lsh_keys(padded(letters, width), plan)
         flat = keys.ravel()
         order = np.argsort(flat, kind="stable")
-        need = min(len(t) + 1 - Q * (allowed(len(t), rate) + 1) for _, t in own)
-        classes.append({"items": own, "marks": marks, "grams": flat_marks[by_gram], "offsets": offsets[by_gram], "plan": plan, "width": width, "repeats": repeats, "need": need,
-                        "keys": flat[order], "item_of": (order // repeats).astype(np.int64),
-                        "slack": max(allowed(len(t), rate) for _, t in own)})
+        limits = np.array([allowed(len(t), rate) for _, t in own], dtype=np.int64)
+        needs = np.array([len(t) for _, t in own], dtype=np.int64) + 1 - Q * (limits + 1)
+        owner = np.repeat(np.arange(len(own)), [len(g) for g in marks])
+        classes.append({"items": own, "grams": flat_marks[by_gram], "offsets": offsets[by_gram], "owner": owner[by_gram],
+                        "needs": needs, "limits": limits})
     return Block(classes, short, rate)
 
 
@@ -220,57 +221,34 @@ def _find_group(block: Block, ids: list, texts: list[str]) -> Iterator[tuple]:
     c = code_points(joined)
     first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     grams = gram_hashes(c)
-    word = np.concatenate([[0], np.flatnonzero((c[:-1] == 32) | (c[:-1] == 0)) + 1])
-    word = word[word < len(c) - Q]
-    # one pass with the grams of all items and the widest window leaves few places for the classes' own tests
-    span = max(cl["width"] + cl["slack"] for cl in block.classes)
-    hit = block.bitmap()[grams]
-    hits = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
-    some = hits[np.minimum(word + span, len(grams))] - hits[np.minimum(word, len(grams))]
-    word = word[some >= min(cl["need"] for cl in block.classes)]
-    if not len(word):
-        return
-    doc = np.searchsorted(first, word, side="right") - 1
-    near = np.zeros(len(grams) + 1, dtype=np.int32)
-    np.add.at(near, np.minimum(word, len(grams)), 1)
-    np.add.at(near, np.minimum(word + span, len(grams)), -1)
-    pos = np.flatnonzero(hit & (np.cumsum(near[:-1]) > 0))
+    pos = np.flatnonzero(block.bitmap()[grams])
     for cl in block.classes:
         # every shared gram votes for the begin that its place in the item implies; the shared grams of a
-        # stretch with k edits agree within k letters
+        # stretch with k edits agree within k letters of its begin, wherever that is
         lo, hi = np.searchsorted(cl["grams"], grams[pos], "left"), np.searchsorted(cl["grams"], grams[pos], "right")
-        votes = np.repeat(pos, hi - lo) - cl["offsets"][ranges(lo, hi - lo)] + cl["width"]
-        votes.sort()
-        mid, k = word + cl["width"], cl["slack"]
-        enough = np.searchsorted(votes, mid + k, "right") - np.searchsorted(votes, mid - k, "left") >= cl["need"]
-        start, own = word[enough], doc[enough]
-        end = np.minimum(start + cl["width"] + k, first[own + 1] - 1)
+        own = ranges(lo, hi - lo)
+        begin, item = np.repeat(pos, hi - lo) - cl["offsets"][own], cl["owner"][own]
+        doc = np.searchsorted(first, np.repeat(pos, hi - lo), side="right") - 1
+        order = np.lexsort((begin, doc, item))
+        begin, item, doc = begin[order], item[order], doc[order]
+        last = np.arange(len(begin)) + cl["needs"][item] - 1
+        at = np.flatnonzero(last < len(begin))
+        to = last[at]
+        at = at[(item[to] == item[at]) & (doc[to] == doc[at]) & (begin[to] - begin[at] <= 2 * cl["limits"][item[at]])]
         tried: dict[tuple[int, int], list[int]] = {}
-        for lo in range(0, len(start), 1024):
-            s, e = start[lo:lo + 1024], end[lo:lo + 1024]
-            grid = s[:, None] + np.arange(cl["width"])
-            windows = np.where(grid < e[:, None], c[np.minimum(grid, len(c) - 1)], 0).astype(np.uint32)
-            keys = lsh_keys(windows, cl["plan"]).ravel()
-            a, b = np.searchsorted(cl["keys"], keys, "left"), np.searchsorted(cl["keys"], keys, "right")
-            for j in np.flatnonzero(b > a).tolist():
-                w = lo + j // cl["repeats"]
-                for item in set(cl["item_of"][a[j]:b[j]].tolist()):
-                    tried.setdefault((int(own[w]), item), []).append(int(start[w]))
+        for k, i, place in zip(doc[at].tolist(), item[at].tolist(), begin[at].tolist()):
+            tried.setdefault((k, i), []).append(place)
         for (k, item), places in sorted(tried.items()):
             name, t = cl["items"][item]
             limit, best = allowed(len(t), block.rate), None
             base = int(first[k])
-            checked_to = -1
+            checked_to = -(1 << 62)
             for p in sorted(set(places)):
                 if p <= checked_to:
                     continue
-                # one check covers all windows that begin within its margin
+                # one check covers all votes within its margin: stretches begin within ``limit`` of a vote
                 checked_to = p + 2 * limit
-                lo, hi = max(p - limit - base, 0), checked_to - base + len(t) + limit
-                # the q-gram lemma again, now with the item's own grams
-                own_grams = grams[base + lo:max(min(base + hi, int(first[k + 1])) - Q, base + lo)]
-                if np.isin(own_grams, cl["marks"][item]).sum() < len(t) + 1 - Q * (limit + 1):
-                    continue
+                lo, hi = max(p - limit - base, 0), checked_to - base + len(t) + 2 * limit
                 dist, stop = edit_end(t, texts[k][lo:hi])
                 if dist <= limit and (best is None or dist < best[0]):
                     begin = lo + _begin(t, texts[k][lo:lo + stop])

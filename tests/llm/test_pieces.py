@@ -259,6 +259,17 @@ def test_decontamination_reaches_its_recall():
         assert edit_distance(item, decontam.fold(texts[d])[s:e]) == dist <= decontam.allowed(len(item))
 
 
+def test_decontamination_finds_items_inside_runs_of_letters():
+    """Verbatim items far from any blank: in text without blanks, and after a long token."""
+    rng = random.Random(12)
+    han = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    items = [(i, han(rng.randint(60, 200))) for i in range(20)] + [(50, "how many apples does the farmer have left when the week ends")]
+    texts = [han(rng.randint(300, 900)) + t + han(rng.randint(0, 500)) for _, t in items[:20]]
+    texts.append("x https://example.org/" + "a1b2" * 60 + "=" + items[-1][1] + "?")
+    got = {(d, i): (s, e, k) for d, i, s, e, k in decontam.find(decontam.build(items), list(range(21)), texts)}
+    assert got == {(d, i): (texts[d].index(t), texts[d].index(t) + len(t), 0) for d, (i, t) in enumerate(items)}
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header>
 <div id="top-menu"><a>Home</a> <a>News</a></div><div class="ad">Buy this, now, it is good.</div>BODY
 <div class="sidebar"><p>Other things to read, that are long, and have marks, as prose has.</p></div>
