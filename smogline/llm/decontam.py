@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit check.
+"""Benchmark decontamination: votes of shared q-grams for item-sized windows, exact edit check.
 
 A document is contaminated by an item when some stretch of it is within ``rate`` x (letters of the item) edits
 of the whole item (letters lower-cased, runs of blanks as one blank).
@@ -7,13 +7,8 @@ of the whole item (letters lower-cased, runs of blanks as one blank).
    (the q-gram lemma). Ten-grams of a batch are looked up in a bitmap of the items' grams; every hit votes for
    the begin of the item that its place in it implies, and begins with so many votes of one item and document
    within 2 k letters are kept: a test without losses, all in numpy, at any letter of the text.
-2. CGK embedding. A window is walked by random bits r(step, letter): each step writes the letter at hand and
-   moves on by the bit, which maps edit distance to Hamming distance of the written strings.
-3. Bit sampling. Each of ``R`` repetitions has a walk of its own and samples ``K`` written letters as an LSH
-   key. R is set from the items themselves: copies with the allowed number of edits are embedded, and R is the
-   least number of repetitions that reaches ``RECALL`` on them.
-4. Windows that meet an item in a bucket are verified exactly: bit-parallel (Myers) edit distance of the whole
-   item against the best stretch of the window and its margin.
+2. Every begin that the votes keep is verified exactly: bit-parallel (Myers) edit distance of the whole item
+   against the best stretch of the letters around it. Nothing is sampled, so all such stretches are found.
 
 The benchmark is read in blocks of at most ``BLOCK_LETTERS`` letters, each broadcast for one pass over the
 documents, so its size is bounded per pass and all items are used.
@@ -34,14 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import code_points, fresh_name, mix64, ranges, table
+from .common import code_points, fresh_name, ranges, table
 
 Q = 10
 RATE = 0.08
-K = 4
-RECALL = 0.98
 MIN_LETTERS = 40
-MAX_REPEATS = 128
 BLOCK_LETTERS = 1 << 20
 GROUP = 1 << 22
 GRAM_BITS = 23
@@ -64,32 +56,6 @@ def gram_hashes(c: np.ndarray) -> np.ndarray:
     return (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - GRAM_BITS)
 
 
-def walk_plan(letters: int, repeats: int) -> tuple[np.ndarray, np.ndarray]:
-    """(r(step, repetition, letter), sampled steps of each repetition) for strings of at least ``letters``."""
-    steps = np.stack([np.sort(np.random.default_rng([s, 0]).choice(2 * letters, size=K, replace=False))
-                      for s in range(repeats)])
-    moves = np.stack([np.random.default_rng([s, 1]).integers(0, 2, (2 * letters, 256), dtype=np.uint8)
-                      for s in range(repeats)], axis=1)
-    return moves, steps
-
-
-def lsh_keys(windows: np.ndarray, plan: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """CGK walks of many windows (rows of letters, 0-padded), all repetitions side by side: (windows x
-    repetitions) keys of the letters written at the sampled steps."""
-    moves, steps = plan
-    n, repeats = len(windows), len(steps)
-    rows, seeds = np.arange(n)[:, None], np.arange(repeats)[None, :]
-    at = np.zeros((n, repeats), dtype=np.int64)
-    key = np.broadcast_to(np.arange(1, repeats + 1, dtype=np.uint64), (n, repeats)).copy()
-    for step in range(int(steps.max()) + 1):
-        c = windows[rows, np.minimum(at, windows.shape[1] - 1)]
-        write = np.flatnonzero((steps == step).any(1))
-        if len(write):
-            key[:, write] = mix64(key[:, write] * np.uint64(0x9E3779B97F4A7C15) + c[:, write])
-        at += moves[step][seeds, (c ^ (c >> np.uint32(8))) & np.uint32(255)]
-    return key
-
-
 def edit_end(item: str, text: str, anchored: bool = False) -> tuple[int, int]:
     """(distance, end) of the best stretch of ``text`` for the whole ``item`` (Myers' bit vectors); anchored
     stretches begin where the text begins."""
@@ -118,34 +84,9 @@ def edit_end(item: str, text: str, anchored: bool = False) -> tuple[int, int]:
     return best, end
 
 
-def edited_copies(texts: list[str], rate: float, seed: int = 3) -> list[str]:
-    """Each text with as many random edits as ``rate`` allows."""
-    rng, out = np.random.default_rng(seed), []
-    for t in texts:
-        s = list(t)
-        for _ in range(allowed(len(t), rate)):
-            at, kind = int(rng.integers(len(s))), int(rng.integers(3))
-            letter = t[int(rng.integers(len(t)))]
-            if kind == 0:
-                s[at] = letter
-            elif kind == 1:
-                s.insert(at, letter)
-            elif len(s) > 1:
-                del s[at]
-        out.append("".join(s))
-    return out
-
-
-def padded(texts: list[np.ndarray], width: int) -> np.ndarray:
-    out = np.zeros((len(texts), width), dtype=np.uint32)
-    for i, t in enumerate(texts):
-        out[i, :min(len(t), width)] = t[:width]
-    return out
-
-
 @dataclass
 class Block:
-    """Items of one pass: bitmaps and LSH tables by length class, and the short items."""
+    """Items of one pass: their grams by length class, and the short items."""
     classes: list[dict]
     short: list[tuple[int, str]]
     rate: float
@@ -159,8 +100,8 @@ class Block:
         return self._map
 
 
-def build(items: list[tuple[int, str]], rate: float = RATE, recall: float = RECALL) -> Block:
-    """Items are grouped into classes of like length (a factor of 1.25), each with windows of its own size."""
+def build(items: list[tuple[int, str]], rate: float = RATE) -> Block:
+    """Items are grouped into classes of like length (a factor of 1.25)."""
     items = [(i, fold(t)) for i, t in items]
     items = [(i, t) for i, t in items if t]
     short = [(i, t) for i, t in items if len(t) < MIN_LETTERS or len(t) + 1 - Q * (allowed(len(t), rate) + 1) < 1]
@@ -175,19 +116,6 @@ def build(items: list[tuple[int, str]], rate: float = RATE, recall: float = RECA
         offsets = np.concatenate([np.arange(len(g)) for g in marks])
         flat_marks = np.concatenate(marks)
         by_gram = np.argsort(flat_marks, kind="stable")
-        embed = max(low - allowed(low, rate), Q)
-        width = max(len(c) for c in letters)
-        # enough repetitions for the recall on copies with all allowed edits
-        some = [t for _, t in own][:32]
-        plan = walk_plan(embed, MAX_REPEATS)
-        a = lsh_keys(padded([code_points(t) for t in some], width), plan)
-        b = lsh_keys(padded([code_points(t) for t in edited_copies(some * 2, rate)], width), plan)
-        found = np.maximum.accumulate(np.tile(a, (2, 1)) == b, axis=1).mean(0)
-        repeats = int(np.argmax(found >= recall)) + 1 if found[-1] >= recall else MAX_REPEATS
-        plan = plan[0][:, :repeats], plan[1][:repeats]
-        keys = lsh_keys(padded(letters, width), plan)
-        flat = keys.ravel()
-        order = np.argsort(flat, kind="stable")
         limits = np.array([allowed(len(t), rate) for _, t in own], dtype=np.int64)
         needs = np.array([len(t) for _, t in own], dtype=np.int64) + 1 - Q * (limits + 1)
         owner = np.repeat(np.arange(len(own)), [len(g) for g in marks])

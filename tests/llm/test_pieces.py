@@ -259,6 +259,20 @@ def test_decontamination_reaches_its_recall():
         assert edit_distance(item, decontam.fold(texts[d])[s:e]) == dist <= decontam.allowed(len(item))
 
 
+def test_decontamination_finds_every_copy_with_all_allowed_edits():
+    """Fresh copies of a few items (a class each), with as many edits as allowed: none is missed."""
+    rng = random.Random(13)
+    letters = "abcdefghijklmnop "
+    items = [(n, decontam.fold(random_text(rng, n, letters))) for n in (60, 130, 260)]
+    texts, truth = [], set()
+    for d in range(150):
+        i, t = items[d % 3]
+        texts.append(decontam.fold(random_text(rng, 50, letters) + " " + edited(rng, t, decontam.allowed(len(t)), letters) + " tail"))
+        truth.add((d, i))
+    got = {(d, i) for d, i, *_ in decontam.find(decontam.build(items), list(range(150)), texts)}
+    assert truth <= got
+
+
 def test_decontamination_finds_items_inside_runs_of_letters():
     """Verbatim items far from any blank: in text without blanks, and after a long token."""
     rng = random.Random(12)
