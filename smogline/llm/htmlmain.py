@@ -6,7 +6,8 @@ latter raised by its spread over the page). Both are smoothed along the page by
 nodes, fused as their product, and thresholded at a share of the page's standard deviation: nodes above it
 are content. The article is the smallest element that holds the content nodes (wide gaps split off stray ones),
 and every block in it is returned but for menus, headers, footers, sidebars, notices, adverts, forms and
-comments, which are known by tag, role or class name.
+comments, which are known by tag, role or class name. A form, and an element that is known by role or class name only, is no furniture if it
+holds most of the content: it wraps the page.
 
 Blocks are block-level elements (and table cells); white space inside a block becomes one blank, character
 references are decoded, blocks are joined by \\n in page order. Parsing is lenient: unclosed and stray tags,
@@ -33,7 +34,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes template svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var".split())
-SKIP = frozenset("script style textarea title xmp iframe noembed noframes template svg math head nav footer aside form "
+SKIP = frozenset("script style textarea title xmp iframe noembed noframes template svg math head nav footer aside "
                  "noscript button select option input dialog menu object canvas audio video map".split())
 P_CLOSERS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
                       "h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -47,6 +48,8 @@ FURNITURE = frozenset("ad ads advert advertisement adverts advertising banner pr
                       "gdpr notice popup modal newsletter subscribe signup login share sharing social related recommended "
                       "comment comments disqus replies reply respond pagination pager widget toolbar skip "
                       "contentinfo search complementary copyright".split())
+#: Those of them that name what readers write.
+REMARKS = frozenset("comment comments disqus replies reply respond".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
                    r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I | re.S)
@@ -57,43 +60,49 @@ LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li td th tr pre blockquote dd dt".split(
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "path", "skip")
+    __slots__ = ("tag", "parent", "depth", "path", "skip", "soft", "remark")
 
-    def __init__(self, tag: str, parent: Element | None, skip: bool) -> None:
+    def __init__(self, tag: str, parent: Element | None, skip: bool, soft: bool = False, remark: bool = False) -> None:
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.path = f"{parent.path}/{tag}" if parent else tag
         self.skip = skip or (parent is not None and parent.skip)
+        # the innermost element around (or itself) that is furniture unless it wraps the content
+        self.soft = self if soft else parent.soft if parent else None
+        self.remark = remark
 
 
-def furniture(tag: str, attrs: str, inside_article: bool) -> bool:
-    """Whether the element is page furniture by tag, role, class or id."""
+def furniture(tag: str, attrs: str, inside_article: bool) -> tuple[bool, bool, bool]:
+    """Whether the element is page furniture: (by tag or hidden, by role, class, id or as a form, of readers' remarks)."""
     if tag in SKIP or (tag == "header" and not inside_article):
-        return True
+        return True, False, False
+    soft, remark = tag == "form", False
     if not attrs or tag in ("body", "html", "article", "main"):
-        return False
+        return False, soft, False
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return True, False, False
         if name == "style":
             if "display:none" in value.replace(" ", "").lower():
-                return True
-        elif any(w.lower() in FURNITURE for w in WORDS.findall(value)):
-            return True
-    return False
+                return True, False, False
+        elif name != "aria-hidden":
+            words = {w.lower() for w in WORDS.findall(value)}
+            soft = soft or not words.isdisjoint(FURNITURE)
+            remark = remark or not words.isdisjoint(REMARKS)
+    return False, soft, remark
 
 
-def nodes_of(page: str) -> list[tuple[Element, int, str]]:
-    """(block element, block number, raw text) of the page's text nodes outside furniture."""
+def nodes_of(page: str) -> list[tuple[Element, int, str, Element | None]]:
+    """(block element, block number, raw text, innermost soft furniture) of the page's text nodes outside hard furniture."""
     root = Element("#", None, False)
     here, block, number, articles = root, root, 0, 0
-    out: list[tuple[Element, int, str]] = []
+    out: list[tuple[Element, int, str, Element | None]] = []
     at = 0
 
     def text(raw: str) -> None:
         if raw and not here.skip:
-            out.append((block, number, raw))
+            out.append((block, number, raw, here.soft))
 
     def pop_to(el: Element) -> None:
         nonlocal here, block, number, articles
@@ -137,7 +146,7 @@ def nodes_of(page: str) -> list[tuple[Element, int, str]]:
             if tag == "hr":
                 number += 1
             elif tag == "br" and not here.skip:
-                out.append((block, number, " "))
+                out.append((block, number, " ", here.soft))
             continue
         if tag in P_CLOSERS:
             e = here
@@ -153,7 +162,7 @@ def nodes_of(page: str) -> list[tuple[Element, int, str]]:
                     pop_to(e.parent)
                     break
                 e = e.parent
-        here = Element(tag, here, furniture(tag, m[3], articles > 0))
+        here = Element(tag, here, *furniture(tag, m[3], articles > 0))
         articles += tag in ("article", "main")
         if tag not in INLINE:
             block = here
@@ -164,10 +173,10 @@ def nodes_of(page: str) -> list[tuple[Element, int, str]]:
     return out
 
 
-def blocks_of(page: str) -> list[tuple[Element, str]]:
+def blocks_of(nodes: list[tuple[Element, int, str, Element | None]]) -> list[tuple[Element, str]]:
     """(block element, clean text) in page order; blocks without text are left out."""
     held: list[tuple[Element, int, list[str]]] = []
-    for element, number, raw in nodes_of(page):
+    for element, number, raw, _ in nodes:
         if held and held[-1][1] == number and held[-1][0] is element:
             held[-1][2].append(raw)
         else:
@@ -213,8 +222,57 @@ def ancestors(e: Element) -> list[Element]:
     return out
 
 
+def outermost(soft: Element | None, open_: set[int]) -> Element | None:
+    """The outermost soft furniture from ``soft`` up that is not open."""
+    out = None
+    while soft is not None:
+        if id(soft) not in open_:
+            out = soft
+        soft = soft.parent.soft if soft.parent else None
+    return out
+
+
+def visible_nodes(nodes: list[tuple[Element, int, str, Element | None]]) -> list[tuple[Element, int, str, Element | None]]:
+    """The nodes outside soft furniture; soft elements that hold most of the page's content are opened, from the
+    outermost inwards, until an article or main comes to light."""
+    if all(soft is None for *_, soft in nodes):
+        return nodes
+    every: list[tuple[Element, str, Element | None]] = []
+    by_soft: dict[int, list] = defaultdict(list)
+    for node in nodes:
+        by_soft[id(node[3])].append(node)
+    for some in by_soft.values():
+        every += [(e, clean, some[0][3]) for e, clean in blocks_of(some)]
+    if not every:
+        return nodes
+    order = {}
+    for i, (e, *_) in enumerate(nodes):
+        order.setdefault(id(e), i)
+    every.sort(key=lambda x: order[id(x[0])])
+    chosen = set(content_nodes([x[:2] for x in every]).tolist())
+    open_: set[int] = set()
+    while True:
+        weight: dict[int, int] = defaultdict(int)
+        shut: dict[int, Element] = {}
+        article = False
+        for k, (e, clean, soft) in enumerate(every):
+            top = outermost(soft, open_)
+            if top is None:
+                article = article or any(a.tag in ("article", "main") for a in ancestors(e))
+            else:
+                shut[id(top)] = top
+            weight[id(top)] += len(clean) * (k in chosen)
+        out = weight.get(id(None), 0)
+        # readers' remarks may outweigh the text that they are about
+        shut = {i: x for i, x in shut.items() if not x.remark or not out}
+        best = max(shut, key=lambda i: weight[i], default=None)
+        if article or best is None or not weight[best] or (out and 2 * weight[best] <= sum(weight.values())):
+            return [x for x in nodes if outermost(x[3], open_) is None]
+        open_.add(best)
+
+
 def main_text(page: str | None) -> str:
-    blocks = blocks_of(page or "")
+    blocks = blocks_of(visible_nodes(nodes_of(page or "")))
     if not blocks:
         return ""
     chosen = content_nodes(blocks)

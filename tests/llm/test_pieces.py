@@ -304,6 +304,19 @@ def test_main_text(body):
     assert htmlmain.main_text(PAGE.replace("BODY", body)) == TEXT
 
 
+@pytest.mark.parametrize("around", ["<div class='site has-sidebar'>ALL</div>", "<div id='page-no-sidebar'>ALL</div>",
+                                    "<section class='search-result-page'>ALL</section>", "<form id='form1'>ALL</form>",
+                                    "<form id='form1'><div class='has-sidebar'>ALL</div></form>"])
+def test_main_text_inside_wrappers_with_furniture_words(around):
+    body = ("<h1>The title</h1><p>First paragraph of the text, which is long enough; it has marks.</p>"
+            "<p>Second &lt;one&gt; &amp; more, with words.</p><p>Short.</p><ul><li>item</ul>")
+    menu = "<div class='menu'><a>Home</a> <a>News</a></div>"
+    remarks = "<div id='comments'><article class='comment'>" + "<p>I like it, really; thank you, and so on.</p>" * 9 + "</article></div>"
+    for tag in ("article", "div"):
+        page = "<body>" + around.replace("ALL", f"{menu}<{tag}>{body}</{tag}>{remarks}") + "<footer>(c) me</footer></body>"
+        assert htmlmain.main_text(page) == TEXT
+
+
 def test_main_text_of_odd_pages():
     assert [htmlmain.main_text(x) for x in (None, "", " ", "<", "a < b", "just &amp; text", "<p>a<p>b<script>x</script",
                                             "<p>cut off <b")] == ["", "", "", "<", "a < b", "just & text", "a\nb", "cut off"]
