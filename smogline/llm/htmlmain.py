@@ -4,8 +4,8 @@ A page is read as a sequence of text nodes with their root-to-leaf tag paths. Fo
 the punctuation are summed over its nodes; the path's ratios are text per node and punctuation per node (the
 latter raised by its spread over the page). Both are smoothed along the page by a Gaussian over neighbouring
 nodes, fused as their product, and thresholded at a share of the page's standard deviation: nodes above it
-are content. The article is the smallest element that holds the content nodes (wide gaps split off stray ones),
-and every block in it is returned but for menus, headers, footers, sidebars, notices, adverts, forms and
+are content. The text is the smallest element that holds the content nodes, or the articles that hold them and
+the content nodes outside of articles; every block in them is returned but for menus, headers, footers, sidebars, notices, adverts, forms and
 comments, which are known by tag, role or class name. A form, and an element that is known by role or class name only, is no furniture if it
 holds most of the content: it wraps the page.
 
@@ -55,7 +55,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I | re.S)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 PUNCT = re.compile(r"[.,;:!?。，！？…\"¿¡]")
-SIGMA, SHARE, HOLDS = 1.0, 0.3, 0.7
+SIGMA, SHARE = 1.0, 0.3
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li td th tr pre blockquote dd dt".split()) | INLINE
 
 
@@ -276,20 +276,21 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     chosen = content_nodes(blocks)
-    # the smallest element that holds most of the chosen text, widened to the article that it stands in
-    weight: dict[int, int] = defaultdict(int)
-    elements: dict[int, Element] = {}
-    for k in chosen:
-        e, clean = blocks[k]
-        for a in ancestors(e):
-            weight[id(a)] += len(clean)
-            elements[id(a)] = a
-    total = sum(len(blocks[k][1]) for k in chosen)
-    best = max((a for i, a in elements.items() if weight[i] >= HOLDS * total), key=lambda a: a.depth)
-    best = next((a for a in ancestors(best) if a.tag in ("article", "main")), best)
+    lines = [ancestors(e) for e, _ in blocks]
+    # articles that hold chosen nodes are returned whole, with the chosen nodes outside of articles; without such an
+    # article, the smallest element that holds all chosen nodes
+    own = [next((x for x in reversed(line) if x.tag in ("article", "main")), None) for line in lines]
+    whole = {id(own[k]) for k in chosen if own[k] is not None}
+    if whole:
+        keep = set(chosen.tolist())
+        return "\n".join(clean for k, (_, clean) in enumerate(blocks) if k in keep or id(own[k]) in whole)
+    common = {id(x) for x in lines[chosen[0]]}
+    for k in chosen[1:]:
+        common &= {id(x) for x in lines[k]}
+    best = next(x for x in lines[chosen[0]] if id(x) in common)
     while best.tag in LEAVES and best.parent:
         best = best.parent
-    return "\n".join(clean for e, clean in blocks if best in ancestors(e))
+    return "\n".join(clean for (_, clean), line in zip(blocks, lines) if best in line)
 
 
 def extractor():

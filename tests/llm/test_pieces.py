@@ -317,6 +317,17 @@ def test_main_text_inside_wrappers_with_furniture_words(around):
         assert htmlmain.main_text(page) == TEXT
 
 
+def test_main_text_keeps_sibling_sections():
+    """No selected node goes because it stands outside the element with most of the text."""
+    part = lambda n, k: "".join(f"<p>Paragraph {n}{i} of the text, which is long enough; it has marks, too.</p>" for i in range(k))
+    lead = "<div class='lead'><p>The lead says what the text is about, in one sentence, as leads do.</p></div>"
+    page = f"<html><body><div>{lead}<div>{part('a', 9)}</div><div>{part('b', 3)}</div></div><footer>(c) me</footer></body></html>"
+    got = htmlmain.main_text(page).split("\n")
+    assert len(got) == 13 and got[0].startswith("The lead") and got[-1].startswith("Paragraph b2")
+    two = f"<body><article>{part('a', 9)}</article><article><h2>Two</h2>{part('b', 3)}</article></body>"
+    assert len(htmlmain.main_text(two).split("\n")) == 13
+
+
 def test_main_text_of_odd_pages():
     assert [htmlmain.main_text(x) for x in (None, "", " ", "<", "a < b", "just &amp; text", "<p>a<p>b<script>x</script",
                                             "<p>cut off <b")] == ["", "", "", "<", "a < b", "just & text", "a\nb", "cut off"]
