@@ -14,7 +14,8 @@ count join on such numbers, sharded by the shuffle:
 
 A document's perplexity is exp of minus the mean log-probability of its letters. It is kept unless its
 perplexity exceeds the ``quantile`` of its language's trusted documents (of all trusted documents where the
-language has fewer than ``MIN_TRUSTED``).
+language has fewer than ``MIN_TRUSTED``). For the quantiles trusted documents are cross-fitted: dealt into
+``FOLDS`` by their id, each fold scored by a model of the others, as documents are that no model has seen.
 
 Defined results: null and empty texts have perplexity null and are not kept; documents without a language use
 the overall threshold; without trusted text perplexities come from the uniform distribution and all non-empty
@@ -35,7 +36,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, code_points, cut_lineage, scratch_path, table
+from .common import checked_broadcast, code_points, crc_mod, cut_lineage, scratch_path, table
 
 ORDER = 5
 BITS = 12
@@ -43,6 +44,7 @@ LETTERS = 1 << BITS
 MASK = LETTERS - 1
 QUANTILE = 0.99
 MIN_TRUSTED = 50
+FOLDS = 2
 SHARD_GRAMS = 1 << 21       # grams of a shard: about 70 MB in a task
 GROUP = 1 << 20             # letters handled at once
 
@@ -305,22 +307,42 @@ def mean_logs(path: str, n_shards: int):
     return score
 
 
-def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, lang, trusted, perplexity) for every row of ``docs`` (doc_id, text, lang)."""
-    spark = docs.sparkSession
+def marked_docs(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, lang, trusted) for every row of ``docs``."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(True))
-    marked = docs.select("doc_id", "text", "lang").join(checked_broadcast(good), "doc_id", "left").withColumn(
+    return docs.select("doc_id", "text", "lang").join(checked_broadcast(good), "doc_id", "left").withColumn(
         "trusted", F.coalesce("trusted", F.lit(False)))
+
+
+def scores(marked: DataFrame) -> DataFrame:
+    """(doc_id, lang, trusted, perplexity) for every row of ``marked``, by the model of its trusted rows."""
     counts = cut_lineage(count_grams(marked.select("text", "trusted")), "kn-grams")
     tables = model(counts.where("n > 0"))
-    path, n = write_shards(gram_logs(counts, tables), spark)
+    path, n = write_shards(gram_logs(counts, tables), marked.sparkSession)
     return marked.select("doc_id", "lang", "trusted", F.exp(-mean_logs(path, n)(F.col("text"))).alias("perplexity"))
 
 
+def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, lang, trusted, perplexity) for every row of ``docs`` (doc_id, text, lang)."""
+    return scores(marked_docs(docs, labels))
+
+
+def cross_fitted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, lang, trusted, perplexity) of the trusted rows, each scored by the trusted rows of the other folds."""
+    good = cut_lineage(marked_docs(docs, labels).where("trusted"), "kn-trusted")
+    if good.isEmpty():
+        return good.select("doc_id", "lang", "trusted", F.lit(None).cast("double").alias("perplexity"))
+    fold, out = crc_mod(F.col("doc_id"), FOLDS), None
+    for f in range(FOLDS):
+        part = scores(good.withColumn("trusted", fold != f)).where("not trusted")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """Adds threshold and keep (1 or 0) to ``perplexities``."""
     scored = cut_lineage(perplexities(docs, labels), "kn-scores")
-    trusted = scored.where("trusted and perplexity is not null")
+    trusted = cut_lineage(cross_fitted(docs, labels), "kn-fitted").where("perplexity is not null")
     cut = F.percentile_approx("perplexity", quantile, 10_000)
     per = trusted.where("lang is not null").groupBy("lang").agg(cut.alias("own"), F.count("*").alias("n")).where(
         F.col("n") >= MIN_TRUSTED).select("lang", "own")

@@ -239,6 +239,18 @@ def test_kneser_against_plain_model(spark):
         assert got[i] == pytest.approx(want, rel=1e-4)
 
 
+def test_kneser_keeps_clean_documents_it_has_not_seen(spark):
+    """Fresh documents of the trusted ones' kind are kept: thresholds come from held-out scores."""
+    rng = np.random.default_rng(21)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(3, 9)))) for _ in range(3000)]
+    docs = [(i, " ".join(rng.choice(words, 40)), "en") for i in range(160)]
+    docs += [(i, "".join(rng.choice(list("qrstuvwxyz0123456789"), 200)), "en") for i in range(160, 180)]
+    labs = spark.createDataFrame([(i, 1) for i in range(80)], "doc_id long, quality int")
+    keep = {r["doc_id"]: r["keep"] for r in kneser.classify(
+        spark.createDataFrame(docs, "doc_id long, text string, lang string"), labs).collect()}
+    assert sum(keep[i] for i in range(80, 160)) >= 72 and not any(keep[i] for i in range(160, 180))
+
+
 def test_warc_source(spark, tmp_path):
     warc.register(spark)
     pages = spark.createDataFrame([(3, "u3", "<p>one</p>"), (1, "u1", "<p>one</p>"), (2, None, None), (4, "u4", ""),
