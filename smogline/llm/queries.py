@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontam, fingerprint, htmlmain, kneser, langid, linededup, periodic, simhash, spm, toxicity, warc)
+from . import (decontam, fingerprint, htmlmain, kneser, langid, linededup, periodic, secretcrf, simhash, spm, toxicity, warc)
 from .common import ship
 
 
@@ -30,6 +30,7 @@ QUERIES = {name: shipped(fn) for name, fn in {
     "op8_htmlmain": htmlmain.query,
     "op9_decontam": decontam.query,
     "op10_kneser": kneser.query,
+    "op12_secrets": secretcrf.query,
     "op13_periodic": periodic.query,
 }.items()}
 
