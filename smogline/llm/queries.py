@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontam, fingerprint, htmlmain, kneser, langid, linededup, periodic, secretcrf, simhash, spm, toxicity, warc)
+from . import (decontam, fingerprint, hardneg, htmlmain, kneser, langid, linededup, periodic, secretcrf, simhash, spm,
+               toxicity, warc)
 from .common import ship
 
 
-
 def shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -30,8 +30,9 @@ QUERIES = {name: shipped(fn) for name, fn in {
     "op8_htmlmain": htmlmain.query,
     "op9_decontam": decontam.query,
     "op10_kneser": kneser.query,
+    "op11_hardneg": hardneg.query,
     "op12_secrets": secretcrf.query,
     "op13_periodic": periodic.query,
 }.items()}
 
-ORACLE = {"op2_warc": warc.ORACLE}
+ORACLE = {"op2_warc": warc.ORACLE, "op11_hardneg": hardneg.ORACLE}
