@@ -298,13 +298,18 @@ def met(trees: DataFrame, held: DataFrame, by_label: bool) -> DataFrame:
     """(tree, block) rows: every tree with the blocks that ask it, in all their numbers."""
     held = held.select(*[F.col(c).alias("b_" + c) for c in held.columns])
     size = held.agg(F.sum(F.length("b_vectors") + F.lit(64 * BLOCK_ANCHORS))).first()[0] or 0
-    numbers = held.groupBy("b_label").agg(F.collect_set("b_block").alias("asking"))
-    if size <= BROADCAST_BYTES:
-        held, numbers = F.broadcast(held), F.broadcast(numbers)
-    key = F.col("label") if by_label else F.lit(0).cast("long")
-    todo = (trees.withColumn("group_", key).join(numbers, F.col("group_") == F.col("b_label")).drop("b_label")
-            .withColumn("asked", F.explode("asking")).drop("asking"))
-    return todo.join(held, (F.col("group_") == F.col("b_label")) & (F.col("asked") == F.col("b_block")))
+    small = size <= BROADCAST_BYTES
+    if by_label:
+        numbers = held.groupBy(F.col("b_label").alias("label")).agg(F.collect_set("b_block").alias("asking"))
+        asked = trees.join(F.broadcast(numbers) if small else numbers, "label")
+        on = (F.col("label") == F.col("b_label")) & (F.col("asked") == F.col("b_block"))
+    else:
+        last = held.agg(F.max("b_block")).first()[0]
+        every = F.array().cast("array<bigint>") if last is None else F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))
+        asked = trees.withColumn("asking", every)
+        on = F.col("asked") == F.col("b_block")
+    asked = asked.withColumn("asked", F.explode("asking")).drop("asking")
+    return asked.join(F.broadcast(held) if small else held, on)
 
 
 def searched(pairs: DataFrame, size: int, negatives: bool) -> DataFrame:
