@@ -37,11 +37,11 @@ def edited(rng, s, k, letters="abcd "):
     return "".join(t)
 
 
-@pytest.mark.parametrize("k", [1, 2, 3])
+@pytest.mark.parametrize("k", [0, 1, 2, 3, 9, 31])
 def test_banded_edit_distance(k):
     rng = random.Random(k)
-    a = [random_text(rng, rng.randint(0, 30)) for _ in range(800)] + ["", "", "abc"]
-    b = [edited(rng, s, rng.randint(0, 5)) if s else "a" for s in a[:800]] + ["", "ab", ""]
+    a = [random_text(rng, rng.randint(0, 30 + 4 * k)) for _ in range(800 if k < 9 else 200)] + ["", "", "abc"]
+    b = [edited(rng, s, rng.randint(0, 5 + 2 * k)) if s else "a" for s in a[:-3]] + ["", "ab", ""]
     got = linededup.within(a, b, k)
     assert [bool(x) for x in got] == [edit_distance(x, y) <= k for x, y in zip(a, b)]
 
@@ -63,6 +63,20 @@ def test_line_signatures_meet_for_all_near_pairs():
         assert any((int(x ^ y) >> bits * g) & ((1 << bits) - 1) == 0 for g in range(5))
 
 
+def test_cut_ends_and_wide_bands_keep_the_distance():
+    rng = random.Random(4)
+    for _ in range(300):
+        a = random_text(rng, rng.randint(0, 60))
+        b = edited(rng, a, rng.randint(0, 12)) if a else "ab"
+        x, y = linededup.without_ends(a, b)
+        assert edit_distance(x, y) == edit_distance(a, b)
+        for k in (0, 3, 8):
+            assert linededup.edits_within(a, b, k) == (edit_distance(a, b) <= k)
+    for w in (1, 2, 3, 6, 9, 10):
+        x = np.array([rng.randint(0, 99) for _ in range(40)], dtype=np.uint64)
+        assert linededup.least_of(x, w, np.minimum).tolist() == [int(x[i:i + w].min()) for i in range(41 - w)]
+
+
 def test_long_lines_are_near_by_their_share():
     """Long lines with all allowed edits share a run key, pass the count test and are near; one word is no cut."""
     rng = random.Random(6)

@@ -172,7 +172,7 @@ def test_line_dedup_against_brute_force(spark, bucket_rows, monkeypatch):
     every = [(i, k, s) for i, t in docs for k, s in enumerate(t.split("\n")) if s.strip()]
     names = sorted({s for _, _, s in every})
     links = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]
-             if min(len(a), len(b)) >= linededup.MIN_CHARS and edit_distance(a, b) <= 2]
+             if edit_distance(a, b) <= max(len(a), len(b)) // 20]
     of = roots(names, links)
     first = {}
     for i, k, s in sorted(every):
@@ -195,6 +195,37 @@ def test_long_lines_lose_their_near_copies(spark, bucket_rows, monkeypatch):
     assert got == {i: b for i, b in enumerate(bases)} | {100 + i: f"own {i}" for i in range(12)}
 
 
+@pytest.mark.parametrize("bucket_rows", [64, 2])
+def test_lines_of_all_lengths_against_all_pairs(spark, bucket_rows, monkeypatch):
+    """Lines of 5 to 400 letters with up to a few more edits than allowed: classes equal those of all near pairs."""
+    monkeypatch.setattr(linededup, "BUCKET_ROWS", bucket_rows)
+    monkeypatch.setattr(linededup, "BLOCK_ROWS", 3)
+    rng = np.random.default_rng(11)
+    bases = ["".join(rng.choice(list("abcdefghijkl "), int(n))) for n in (5, 19, 20, 25, 39, 40, 58, 59, 60, 61, 79, 80, 99, 120, 200, 400)]
+
+    def vary(s):
+        t = list(s)
+        for _ in range(int(rng.integers(0, len(s) // 20 + 2))):
+            i = int(rng.integers(len(t)))
+            kind = int(rng.integers(3))
+            t[i:i + (kind != 1)] = [] if kind == 0 and len(t) > 1 else [str(rng.choice(list("xyzabc")))]
+        return "".join(t)
+
+    docs = [(i, "\n".join(vary(bases[int(rng.integers(len(bases)))]) for _ in range(int(rng.integers(1, 4))))) for i in range(110)]
+    every = [(i, k, s) for i, t in docs for k, s in enumerate(t.split("\n")) if s.strip()]
+    names = sorted({s for _, _, s in every})
+    links = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]
+             if abs(len(a) - len(b)) <= max(len(a), len(b)) // 20 and edit_distance(a, b) <= max(len(a), len(b)) // 20]
+    of = roots(names, links)
+    first = {}
+    for i, k, s in sorted(every):
+        first.setdefault(of[s], (i, k))
+    want = {(i, "\n".join(s for k, s in enumerate(t.split("\n")) if not s.strip() or first[of[s]] == (i, k))) for i, t in docs}
+    got = linededup.drop_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {(r["doc_id"], r["text"]) for r in got.collect()} == want
+    assert {len(a) // 100 for a, _ in links} >= {0, 1, 3}
+
+
 def test_kneser_against_plain_model(spark):
     """Perplexities against a dictionary form of interpolated modified Kneser-Ney."""
     texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "on and on and on", "zebra"]
