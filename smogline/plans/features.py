@@ -30,15 +30,17 @@ def feature_windows(d: DataFrame, w) -> DataFrame:
 
 
 def build_features(readings: DataFrame, drop_incomplete: bool = True,
-                   chunk_rows: int | None = DEFAULT_CHUNK_ROWS, **layout) -> DataFrame:
+                   chunk_rows: int | None = DEFAULT_CHUNK_ROWS, key=KEY, compute=feature_windows, keep=(),
+                   **layout) -> DataFrame:
     """50-column feature table from readings with ``aqi``.
 
     One shuffle for the row numbering and one for the chunked windows, whatever the number of cities
     or the size of the largest one. ``drop_incomplete`` keeps rows with a 24 h lag and a 72 h target
-    (training); live scoring keeps every row.
+    (training); live scoring keeps every row. ``key`` may name more columns that bound a series, ``compute`` add
+    columns to the windows, and ``keep`` names those that stay beside the 50.
     """
     d = readings.withColumns(calendar_columns("time"))
-    out = over_series(d, KEY, feature_windows, lookback=W.FEATURE_LOOKBACK, lookahead=W.FEATURE_LOOKAHEAD,
+    out = over_series(d, key, compute, lookback=W.FEATURE_LOOKBACK, lookahead=W.FEATURE_LOOKAHEAD,
                       chunk_rows=chunk_rows, **layout)
     out = out.withColumns({
         "pm_ratio": derived.pm_ratio(),
@@ -46,7 +48,7 @@ def build_features(readings: DataFrame, drop_incomplete: bool = True,
     })
     if drop_incomplete:
         out = out.filter(F.col("aqi_lag_24h").isNotNull() & F.col("target_aqi_72h").isNotNull())
-    return out.select(*FEATURE_COLUMNS)
+    return out.select(*FEATURE_COLUMNS, *keep)
 
 
 def training_features(features: DataFrame, target: str, span: float = EWMA_SPAN,
