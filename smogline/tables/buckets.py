@@ -1,8 +1,8 @@
 """Bucketed keyed table: small deltas, merge on read, compaction of touched buckets.
 
 A row belongs to a bucket (``bkt``: a time bucket or a hash of the key). A batch writes only its own rows, as
-``data/v=<2 x batch>/bkt=<b>``; what is current is named by ``manifest/v=<...>``, one row per live (bucket, version) with
-its number of rows and greatest time. The manifest is written after the data and counts only with its ``_SUCCESS``, so a
+``data/v=<2 x batch>/bkt=<b>``; what is current is named by ``manifest/v=<...>.json``, one entry per live (bucket, version)
+with its number of rows and greatest time. The manifest is written after the data and appears by a rename, so a
 batch becomes visible at once or not at all, and a replay of a batch starts from the manifest before it and
 overwrites its own folders. Reads open the folders of the asked buckets alone and keep, per key, the row of the greatest
 (version, order, row hash): the same row whatever the partitioning. A row with ``_gone`` removes its key.
@@ -17,6 +17,7 @@ The manifest has at most buckets x ``merge_at`` rows (compaction runs with every
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,11 +26,10 @@ from pyspark.sql import types as T
 
 from ..functions.calendar import ntz_lit
 from ..operators.sequence import bucket_of
-from ..sources.paths import exists, list_dirs, remove
+from ..sources.paths import list_dirs, list_files, read_text, remove, write_text
 from .keyed import KEYS, last_wins
 
 BKT, GONE, ORDER, VERSION = "bkt", "_gone", "_order", "_version"
-MANIFEST = "bkt long, v long, n long, max_time timestamp_ntz"
 
 
 def by_time(hours: int = 168, time: str = "time") -> Callable[[], Column]:
@@ -44,22 +44,25 @@ def by_hash(n: int = 16, *keys: str) -> Callable[[], Column]:
 
 class BucketTable:
     def __init__(self, spark: SparkSession, path: str, bucket: Callable[[], Column], keys: Sequence[str] = KEYS,
-                 time: str = "time", merge_at: int = 4):
+                 time: str = "time", merge_at: int = 4, retain_hours: int | None = None):
         self.spark, self.path, self.bucket = spark, path.rstrip("/"), bucket
-        self.keys, self.time, self.merge_at = list(keys), time, merge_at
+        self.keys, self.time, self.merge_at, self.retain_hours = list(keys), time, merge_at, retain_hours
         self._schemas: dict[int, T.StructType] = {}         # of the versions that this process wrote
 
     # -- manifests ---------------------------------------------------------------------------------
+    def _manifest(self, version: int) -> str:
+        return f"{self.path}/manifest/v={version}.json"
+
     def _versions(self) -> list[int]:
-        found = sorted(int(d[2:]) for d in list_dirs(self.spark, f"{self.path}/manifest") if d.startswith("v="))
-        return [v for v in found if exists(self.spark, f"{self.path}/manifest/v={v}/_SUCCESS")]
+        return sorted(int(f[2:-5]) for f in list_files(self.spark, f"{self.path}/manifest") if f.endswith(".json"))
 
-    def entries(self, below: int | None = None) -> list:
-        """(bkt, v, n, max_time) of the newest whole manifest (below a version)."""
+    def entries(self, below: int | None = None) -> list[dict]:
+        """{bkt, v, n, max_time} of the newest manifest (below a version)."""
         versions = [v for v in self._versions() if below is None or v < below]
         if not versions:
             return []
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/v={versions[-1]}").collect()
+        held = json.loads(read_text(self.spark, self._manifest(versions[-1])))
+        return [{**e, "max_time": dt.datetime.fromisoformat(e["max_time"]) if e["max_time"] else None} for e in held]
 
     def exists(self) -> bool:
         return bool(self._versions())
@@ -67,18 +70,21 @@ class BucketTable:
     def buckets(self) -> list[int]:
         return sorted({e[BKT] for e in self.entries()})
 
-    def cutoff(self, hours: int) -> dt.datetime | None:
-        """Greatest time of all live rows less ``hours``, from the manifest alone."""
+    def cutoff(self, hours: int | None = None) -> dt.datetime | None:
+        """Greatest time of all live rows less ``hours`` (the table's own retention), from the manifest alone."""
+        hours = self.retain_hours if hours is None else hours
+        if hours is None:
+            return None
         times = [e["max_time"] for e in self.entries() if e["max_time"] is not None]
         return max(times) - dt.timedelta(hours=hours) if times else None
 
-    def _publish(self, version: int, kept: list, fresh: DataFrame | None) -> None:
-        rows = self.spark.createDataFrame([(e[BKT], e["v"], e["n"], e["max_time"]) for e in kept], MANIFEST)
-        if fresh is not None:
-            new = (fresh.groupBy(BKT).agg(F.count("*").alias("n"), F.max(self.time).cast("timestamp_ntz").alias("max_time"))
-                   .select(F.col(BKT).cast("long"), F.lit(version).cast("long").alias("v"), "n", "max_time"))
-            rows = rows.unionByName(new)
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/v={version}")
+    def _publish(self, version: int, kept: list[dict], fresh: DataFrame) -> list[int]:
+        """Names the kept entries and the freshly written buckets as current; returns the latter."""
+        new = fresh.groupBy(BKT).agg(F.count("*").alias("n"), F.max(self.time).cast("timestamp_ntz").alias("max_time")).collect()
+        entries = kept + [{"bkt": int(r[BKT]), "v": version, "n": r["n"], "max_time": r["max_time"]} for r in new]
+        write_text(self.spark, self._manifest(version), json.dumps(
+            [{**e, "max_time": e["max_time"].isoformat() if e["max_time"] else None} for e in entries]))
+        return sorted(int(r[BKT]) for r in new)
 
     # -- writes ------------------------------------------------------------------------------------
     def _data(self, version: int) -> str:
@@ -93,19 +99,18 @@ class BucketTable:
         """One batch: rows, and keys that go (``gone``; a row of the batch itself stays). Returns the touched buckets."""
         version = 2 * batch
         for later in [v for v in self._versions() if v >= version]:
-            remove(self.spark, f"{self.path}/manifest/v={later}")
+            remove(self.spark, self._manifest(later))
         fresh = rows.withColumns({GONE: F.lit(False), ORDER: F.col(order).cast("long") if order else F.lit(0).cast("long")})
         if gone is not None:
             left = gone.select(*self.keys).distinct().join(rows.select(*self.keys).distinct(), self.keys, "left_anti")
             fresh = fresh.unionByName(left.withColumns({GONE: F.lit(True), ORDER: F.lit(0).cast("long")}), allowMissingColumns=True)
         written = self._write(fresh.withColumn(BKT, self.bucket()), version)
-        self._publish(version, self.entries(below=version), written)
-        touched = sorted({e[BKT] for e in self.entries() if e["v"] == version})
+        touched = self._publish(version, self.entries(below=version), written)
         self.compact(batch)
         return touched
 
-    def compact(self, batch: int, hours: int | None = None) -> list[int]:
-        """Merges the buckets of at least ``merge_at`` versions; rows older than ``hours`` before the greatest time go."""
+    def compact(self, batch: int) -> list[int]:
+        """Merges the buckets of at least ``merge_at`` versions; rows beyond the table's retention go."""
         held: dict[int, list] = {}
         for e in self.entries():
             held.setdefault(e[BKT], []).append(e)
@@ -113,7 +118,7 @@ class BucketTable:
         if many:
             version = 2 * batch + 1
             rows = self._merged(many)
-            cutoff = self.cutoff(hours) if hours is not None else None
+            cutoff = self.cutoff()
             if cutoff is not None:
                 rows = rows.filter(F.col(self.time) >= ntz_lit(cutoff))
             written = self._write(rows, version)
@@ -124,8 +129,8 @@ class BucketTable:
         """Deletes manifests but the newest ``keep`` and data that none of those names; returns the deleted versions."""
         versions = self._versions()
         for old in versions[:-keep]:
-            remove(self.spark, f"{self.path}/manifest/v={old}")
-        named = {r["v"] for v in versions[-keep:] for r in self.spark.read.parquet(f"{self.path}/manifest/v={v}").select("v").distinct().collect()}
+            remove(self.spark, self._manifest(old))
+        named = {e["v"] for v in versions[-keep:] for e in self.entries(below=v + 1)}
         found = [int(d[2:]) for d in list_dirs(self.spark, f"{self.path}/data")]
         dead = sorted(v for v in found if v not in named and v < max(versions, default=0))
         for v in dead:
@@ -157,9 +162,9 @@ class BucketTable:
         return best.filter(~F.col(GONE)).drop("_tie", VERSION)
 
     def read(self, buckets: Iterable[int] | None = None, hours: int | None = None) -> DataFrame:
-        """Current rows (of the named buckets); with ``hours`` only those within the retention (K4)."""
+        """Current rows (of the named buckets) within ``hours`` or the table's own retention (K4)."""
         rows = self._merged(buckets).drop(GONE, ORDER, BKT)
-        cutoff = self.cutoff(hours) if hours is not None else None
+        cutoff = self.cutoff(hours)
         return rows if cutoff is None else rows.filter(F.col(self.time) >= ntz_lit(cutoff))
 
     def counts(self, key: str = "city") -> DataFrame:

@@ -5,8 +5,9 @@ tagged with the ``batch_seq`` of its insert and a ``row_seq`` inside the batch.
 the last-wins view over the log (highest ``batch_seq``, then highest ``row_seq`` per key). Compaction
 writes that view as ``<path>/snapshot/upto=<batch_seq>``; from then on the view reads the newest whole
 snapshot and only the later batches of the log. Inserts are idempotent per ``batch_seq``: re-running a
-batch overwrites only its own folder, and snapshots that hold the batch are removed first. The log
-itself stays whole, so a snapshot can always be made again.
+batch overwrites only its own folder, and snapshots that hold the batch are removed first. Batches count only
+once they are written whole. The log stays whole, so a snapshot can always be made again, unless
+``compact(trim=True)`` deletes what the snapshot covers.
 """
 
 from __future__ import annotations
@@ -88,15 +89,15 @@ class KeyedTable:
         return f"{self.path}/log"
 
     def exists(self) -> bool:
-        return exists(self.spark, self.log_path)
+        return exists(self.spark, self.log_path) or bool(self.snapshots())
 
     def batches(self) -> list[int]:
         return sorted(int(b.split("=", 1)[1]) for b in list_dirs(self.spark, self.log_path)
                       if b.startswith(f"{BATCH}="))
 
     def next_batch(self) -> int:
-        b = self.batches()
-        return (b[-1] + 1) if b else 0
+        b = self.batches() + self.snapshots()
+        return (max(b) + 1) if b else 0
 
     def insert(self, df: DataFrame, batch_seq: int | None = None, order: str | None = None) -> int:
         """K1: append one batch. A batch owns one folder (``batch_seq=n``), which a replay overwrites whole, so
@@ -105,14 +106,24 @@ class KeyedTable:
         seq = self.next_batch() if batch_seq is None else int(batch_seq)
         for upto in self.snapshots():
             if upto >= seq:
+                if upto not in self.batches():
+                    raise ValueError(f"batch {seq} can't be replayed: the log up to {upto} has been trimmed")
                 remove(self.spark, self._snapshot_path(upto))
         tagged = tag_batch(df, seq, order=order).withColumn(MONTH, F.date_format(F.col(self.time), "yyyy-MM"))
         (tagged.drop(BATCH).write.mode("overwrite").option("partitionOverwriteMode", "static")
          .partitionBy(MONTH).parquet(f"{self.log_path}/{BATCH}={seq}"))
         return seq
 
-    def log(self) -> DataFrame:
-        return self.spark.read.parquet(self.log_path).withColumn(BATCH, F.col(BATCH).cast("long"))
+    def log(self, after: int | None = None) -> DataFrame | None:
+        """Rows of the whole batches (a batch that is being written, or was left half written, has no ``_SUCCESS`` and does
+        not count), from those after ``after``; None where there are none."""
+        whole = [f"{self.log_path}/{BATCH}={b}" for b in self.batches() if (after is None or b > after)
+                 and exists(self.spark, f"{self.log_path}/{BATCH}={b}/_SUCCESS")]
+        whole = [w for w in whole if list_dirs(self.spark, w)]          # a batch without rows has no folder of a month
+        if not whole:
+            return None
+        return (self.spark.read.option("basePath", self.log_path).option("mergeSchema", True).parquet(*whole)
+                .withColumn(BATCH, F.col(BATCH).cast("long")))
 
     def current(self, since=None) -> DataFrame:
         """K2 view. ``since`` (a timestamp) prunes month partitions before the last-wins step."""
@@ -120,10 +131,13 @@ class KeyedTable:
 
     def _view(self, since=None) -> DataFrame:
         """The current rows with the batch and row numbers of their insert."""
-        rows, snapshots = self.log(), self.snapshots()
+        snapshots = self.snapshots()
+        rows = self.log(snapshots[-1] if snapshots else None)
         if snapshots:
             held = self.spark.read.parquet(self._snapshot_path(snapshots[-1]))
-            rows = union_by_name(held, rows.filter(F.col(BATCH) > snapshots[-1]))
+            rows = held if rows is None else union_by_name(held, rows)
+        if rows is None:
+            raise FileNotFoundError(f"no whole batch with rows in {self.log_path}")
         if since is not None:
             rows = rows.filter(F.col(MONTH) >= F.lit(since.strftime("%Y-%m"))).filter(
                 F.col(self.time) >= ntz_lit(since))
@@ -138,12 +152,18 @@ class KeyedTable:
                        if d.startswith("upto="))
         return [n for n in found if exists(self.spark, f"{self._snapshot_path(n)}/_SUCCESS")]
 
-    def compact(self) -> DataFrame:
-        """K3: write the current view as the snapshot that later reads start from, partitioned by month."""
-        upto = self.batches()[-1]
+    def compact(self, trim: bool = False) -> DataFrame:
+        """K3: write the current view as the snapshot that later reads start from, partitioned by month. With ``trim`` the
+        batches and older snapshots that it covers are deleted once it is whole; those batches can't be replayed any more."""
+        upto = self.batches()[-1] if self.batches() else self.snapshots()[-1]
         if upto not in self.snapshots():
             (self._view().withColumn(MONTH, F.date_format(F.col(self.time), "yyyy-MM")).write.mode("overwrite")
              .partitionBy(MONTH).parquet(self._snapshot_path(upto)))
+        if trim:
+            for b in [b for b in self.batches() if b <= upto]:
+                remove(self.spark, f"{self.log_path}/{BATCH}={b}")
+            for older in self.snapshots()[:-1]:
+                remove(self.spark, self._snapshot_path(older))
         return self.current()
 
 
