@@ -88,6 +88,8 @@ def test_long_lines_are_near_by_their_share():
         assert linededup.near([a], [b]).tolist() == [dist <= limit]
         x, y = linededup.letter_counts([a, b])
         assert linededup.count_gap(x[None], y[None])[0] <= 2 * dist
+        x, y = linededup.pair_counts([a, b])
+        assert linededup.pair_gap(x[None], y[None])[0] <= 4 * dist
         if dist <= limit and max(len(a), len(b)) >= linededup.long_from():
             keys, rows, low = linededup.run_keys([a, b])
             assert all(low[rows == r].min() == keys[rows == r][keys[rows == r].view(np.uint64).argmin()] or len(set(low[rows == r])) > 1 for r in (0, 1))
