@@ -6,6 +6,7 @@ import io
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from smogline.llm import decontam, fingerprint, htmlmain, kneser, langid, linededup, simhash, spm, toxicity, warc
@@ -91,9 +92,48 @@ def test_long_lines_are_near_by_their_share():
         x, y = linededup.pair_counts([a, b])
         assert linededup.pair_gap(x[None], y[None])[0] <= 4 * dist
         if dist <= limit and max(len(a), len(b)) >= linededup.long_from():
-            keys, rows, low = linededup.run_keys([a, b])
+            keys, rows, low, place, low_place = linededup.run_keys([a, b])
             assert all(low[rows == r].min() == keys[rows == r][keys[rows == r].view(np.uint64).argmin()] or len(set(low[rows == r])) > 1 for r in (0, 1))
             assert set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist())
+            assert all(p == min(place[(rows == r) & (keys == x)]) for r, x, p in zip(rows, low, low_place))
+
+
+@pytest.mark.parametrize("bucket_rows", [64, 2])
+def test_near_lines_keep_enough_keys(bucket_rows, monkeypatch):
+    """Near pairs have the least number of shared keys over all ranges or stand in a dense key, periodic lines too."""
+    monkeypatch.setattr(linededup, "BUCKET_ROWS", bucket_rows)
+    rng = random.Random(16)
+    lines, near = [], []
+    for k in range(60):
+        a = random_text(rng, rng.randint(60, 900), "abcdefgh ")
+        if k % 3 == 0:                                      # periods repeat their keys
+            a = (a[:rng.randint(5, 40)] * 200)[:len(a)]
+        step = max(len(a) // (int(linededup.allowed(len(a))) + 1), 1)
+        even = "".join("#" if i % step == step - 1 and i // step < linededup.allowed(len(a)) else ch for i, ch in enumerate(a))
+        for b in (even, edited(rng, a, rng.randint(1, int(linededup.allowed(len(a)))), "abcdefgh ")):
+            if a != b and edit_distance(a, b) <= linededup.allowed(max(len(a), len(b))):
+                near.append((a, b))
+        lines += [a] + [b for x, b in near if x == a]
+    ids = dict(zip(lines, (linededup.line_ids(lines).view(np.int64) >> 1).tolist()))
+    batch = pa.RecordBatch.from_arrays([pa.array(["\n".join(lines[:90]), "\n".join(lines[90:])])], names=["text"])
+    by_part: dict[int, list] = {}
+    for out in linededup.emit_runs(2, 3)(iter([batch.slice(0, 1), batch.slice(1)])):
+        by_part.setdefault(out.column(0)[0].as_py(), []).append(out)
+    hits, need, dense = {}, {}, {}
+    for held in by_part.values():
+        for out in linededup.met_runs(2)(iter(held)):
+            for key, a, b, h, t in zip(*(c.to_pylist() for c in out.columns)):
+                if key is None:
+                    hits[a, b], need[a, b] = hits.get((a, b), 0) + h, t
+                else:
+                    dense.setdefault(a, set()).add(key)
+    assert len(near) > 80
+    for a, b in near:
+        x, y = sorted((ids[a], ids[b]))
+        assert hits.get((x, y), 0) >= need.get((x, y), 1) or dense.get(x, set()) & dense.get(y, set()), (len(a), len(b))
+
+
+def test_one_word_is_no_cut():
     line = "The committee met on Tuesday and agreed that the report should be published before the end of the month."
     assert linededup.near([line], [line.replace("Tuesday", "Sunday")]).all() and not linededup.within(
         [line], [line.replace("Tuesday", "Sunday")]).any()
