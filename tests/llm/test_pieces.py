@@ -87,8 +87,9 @@ def test_long_lines_are_near_by_their_share():
         b = edited(rng, a, rng.randint(k // 2, k), "abcdefghijklmnop ")
         dist, limit = edit_distance(a, b), int(linededup.allowed(max(len(a), len(b))))
         assert linededup.near([a], [b]).tolist() == [dist <= limit]
-        x, y = linededup.letter_counts([a, b])
-        assert linededup.count_gap(x[None], y[None])[0] <= 2 * dist
+        x, y = linededup.gram_counts([a, b])
+        assert linededup.gram_gap(x[None], y[None])[0] <= 2 * linededup.TEXT_GRAM * dist
+        assert x.sum() == len(a) - linededup.TEXT_GRAM + 1 and linededup.near_by_grams([a], [b]).tolist() == [dist <= limit]
         x, y = linededup.pair_counts([a, b])
         assert linededup.pair_gap(x[None], y[None])[0] <= 4 * dist
         if dist <= limit and max(len(a), len(b)) >= linededup.long_from():
