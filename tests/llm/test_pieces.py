@@ -331,6 +331,59 @@ def test_decontamination_finds_every_copy_with_all_allowed_edits():
     assert truth <= got
 
 
+def test_decontamination_repetitions_reach_the_recall_on_fresh_copies():
+    """Windows of copies that did not choose the repetitions, cut at the true begin, by keys alone."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    for n in (6, 20, 60):
+        texts = [decontam.fold(" ".join(rng.choice(words) for _ in range(n))) for _ in range(5)]
+        block = decontam.build(list(enumerate(texts)))
+        found = total = 0
+        for cl in block.classes:
+            own = [t for _, t in cl["items"]] * 80
+            plan = decontam.walk_plan(cl["embed"], 0, cl["repeats"])
+            copies = decontam.edited_copies(own, block.rate, seed=77)
+            keys = decontam.lsh_keys(decontam.padded([decontam.code_points(t) for t in copies], cl["width"]), plan)
+            found += int((keys == np.tile(cl["keys"], (80, 1))).any(1).sum())
+            total += len(own)
+        assert cl["repeats"] and found >= 0.95 * total
+
+
+def test_decontamination_short_items_by_the_same_rule():
+    rng = random.Random(22)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    items = [(n, random_text(rng, n, letters)) for n in range(1, 60)]
+    texts, truth = [], set()
+    for n, t in items:
+        for _ in range(6):
+            texts.append(random_text(rng, 30, "0123456789") + edited(rng, t, decontam.allowed(n), letters) + "0" * 9)
+            truth.add((len(texts) - 1, n))
+    got = {(d, i) for d, i, *_ in decontam.find(decontam.build(items), list(range(len(texts))), texts)}
+    assert len(truth & got) >= 0.98 * len(truth)
+    for d, i in got - truth:
+        assert decontam.edit_end(dict(items)[i], texts[d])[0] <= decontam.allowed(i)
+
+
+def test_decontamination_votes_of_templated_items_in_parts(monkeypatch):
+    """Items with one lead, texts with that lead, and one letter for ever: the parts give what the whole gives."""
+    rng = random.Random(23)
+    prose = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    lead = "which of the following answers is right"
+    items = [(i, lead + " " + prose(150)) for i in range(200)] + [(900, "z" * 150)]
+    texts = [prose(40) + " " + lead + " " + prose(200) for _ in range(50)]
+    texts += [prose(40) + " " + edited(rng, items[i][1], 5, "abcdef") + " tail" for i in range(20)] + ["z" * 3_000]
+    block = decontam.build(items)
+    want = sorted(decontam.find(block, list(range(len(texts))), texts))
+    assert {(d, i) for d, i, *_ in want} == {(50 + i, i) for i in range(20)} | {(70, 900)}
+    sizes = []
+    voted = decontam._voted
+    monkeypatch.setattr(decontam, "VOTES", 1 << 13)
+    monkeypatch.setattr(decontam, "_voted", lambda cl, first, pos, lo, hi, i, j: sizes.append(int((hi - lo).sum())) or voted(
+        cl, first, pos, lo, hi, i, j))
+    assert sorted(decontam.find(block, list(range(len(texts))), texts)) == want
+    assert len(sizes) > 4
+
+
 def test_decontamination_finds_items_inside_runs_of_letters():
     """Verbatim items far from any blank: in text without blanks, and after a long token."""
     rng = random.Random(12)
