@@ -38,4 +38,4 @@ def stable_sql(expr: str) -> str:
 
 def load_all() -> None:
     """Imports the modules that register queries."""
-    from . import queries_change, queries_core, queries_more  # noqa: F401
+    from . import queries_change, queries_core, queries_linear, queries_more  # noqa: F401
