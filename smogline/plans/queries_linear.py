@@ -1,4 +1,5 @@
-"""Registered queries for closed-form ridge models: fits, held-out metrics, forecasts, and selection among forecasts."""
+"""Registered queries for closed-form ridge models (fits, held-out metrics, forecasts), selection among forecasts, permutation
+importance and quantile sketches."""
 
 from __future__ import annotations
 
@@ -6,14 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.derived import forecast_from_delta
 from ..ml import ridge
+from ..ml.importance import permutation_importance
 from ..operators import aggregates as AG
+from ..operators import sketches as SK
 from ..operators.select import latest_row
 from ..schemas import TARGETS, horizon_label
 from ..session import cut_lineage
-from ..sources.adapter import readings_events
+from ..sources.adapter import raw_events, readings_events
 from . import features as FT
 from .queries_change import HOUR_SQL, hour_number
-from .queries_core import COMPLETE_FEATURES_SQL, FEATURES_SQL
+from .queries_core import COMPLETE_FEATURES_SQL, FEATURES_SQL, RAW
 from .registry import register, stable, stable_sql
 
 FEATURES = ["aqi", "aqi_lag_24h"]
@@ -128,3 +131,58 @@ def q_select_plain(spark, sf):
     pred = _rows(spark, sf).select("horizon", "y_true", F.inline(of)).filter(
         F.col("y_true").isNotNull() & F.col("y_pred").isNotNull())
     return stable(AG.select_best(AG.prediction_metrics(pred)), ["rmse"])
+
+
+# --- M8 on a fixed score, A4 for continuous columns ------------------------------------------------------
+
+SCORED = {"aqi": 0.6, "aqi_lag_24h": 0.3, "aqi_roll_mean_24h": 0.1, "temperature_2m": 0.0}
+_SCORE_SQL = " + ".join(f"{w}e0 * {{{c}}}" for c, w in SCORED.items())
+
+
+def _importance_sql() -> str:
+    ranks = ", ".join(f"row_number() OVER (ORDER BY md5(concat_ws('|', city, CAST(time AS VARCHAR), '{s}'))) AS r{s}" for s in (42, 43))
+    one = [f"SELECT {v} AS feature, a.target_aqi_24h AS y, greatest("
+           + _SCORE_SQL.format(**{c: f"{'b' if v == repr(c) else 'a'}.{c}" for c in SCORED}) + ", 0e0) AS p, "
+           + " + ".join(f"{'b' if v == repr(c) else 'a'}.{c}" for c in SCORED) + " AS whole "
+           "FROM f a JOIN f b ON a.r42 = b.r43" for v in ("NULL", *map(repr, SCORED))]
+    return (f"WITH f AS (SELECT *, {ranks} FROM ({COMPLETE_FEATURES_SQL}) x), v AS ({' UNION ALL '.join(one)}), "
+            "e AS (SELECT feature, sqrt(avg((p - y) * (p - y))) AS rmse, count(*) AS n FROM v "
+            "WHERE whole IS NOT NULL AND y IS NOT NULL GROUP BY feature) "
+            f"SELECT e.feature, {stable_sql('z.rmse')} AS rmse, {stable_sql('e.rmse')} AS rmse_permuted, "
+            f"{stable_sql('e.rmse - z.rmse')} AS importance, e.n FROM e JOIN e z ON z.feature IS NULL WHERE e.feature IS NOT NULL")
+
+
+@register("permutation_importance", _importance_sql())
+def q_permutation(spark, sf):
+    """M8: importance of four features for a fixed linear score of the 24 h target, over all complete rows."""
+    feats = cut_lineage(FT.build_features(readings_events(spark, sf)), "importance-features")
+    rows = feats.select("city", "time", *SCORED, "target_aqi_24h")
+
+    def score(df):
+        s = sum((F.lit(w) * F.col(c) for c, w in SCORED.items()), F.lit(0.0))
+        return df.withColumn("y_pred", F.when(s.isNotNull(), F.greatest(s, F.lit(0.0))))
+
+    return stable(permutation_importance(rows, score, list(SCORED), "target_aqi_24h"), ["rmse", "rmse_permuted", "importance"])
+
+
+PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+@register("sketch_quantiles",
+          f"WITH r AS (SELECT city, pm2_5 AS v FROM ({RAW}) r WHERE pm2_5 IS NOT NULL AND "
+          f"date_trunc('week', time) > (SELECT min(date_trunc('week', time)) FROM ({RAW}) s)) "
+          f"SELECT city, CAST(p AS DOUBLE) AS p, count(*) AS n, min(v) AS min, max(v) AS max, TRUE AS within "
+          f"FROM r, (SELECT unnest([{', '.join(map(str, PROBS))}]) AS p) GROUP BY city, p")
+def q_sketch_quantiles(spark, sf):
+    """A4 on a continuous column: quantiles of all weeks but the first from stored sketches; ``within`` says whether the true
+    rank of the sketch's value, counted over the readings, is within the stated error of the asked one."""
+    raw = raw_events(spark, sf)
+    table = cut_lineage(SK.quantile_sketches(raw, "pm2_5", period="week"), "sketches")
+    first = table.agg(F.date_add(F.min(SK.PERIOD), 7)).first()[0]
+    got = SK.merged(table, first=first).select("city", "n", "min", "max", F.inline(F.array(
+        *[F.struct(F.lit(p).alias("p"), SK.quantile(p).alias("q")) for p in PROBS])))
+    rows = raw.filter((F.to_date(F.date_trunc("week", "time")) >= F.lit(first)) & F.col("pm2_5").isNotNull()).select(F.col("city").alias("c"), "pm2_5")
+    ranks = got.join(rows, F.col("city").eqNullSafe(F.col("c"))).groupBy("city", "p", "n", "min", "max").agg(
+        F.avg((F.col("pm2_5") < F.col("q")).cast("int")).alias("lo"), F.avg((F.col("pm2_5") <= F.col("q")).cast("int")).alias("hi"))
+    within = (F.col("lo") - SK.RANK_ERROR <= F.col("p")) & (F.col("p") <= F.col("hi") + SK.RANK_ERROR)
+    return ranks.select("city", "p", "n", "min", "max", within.alias("within"))
