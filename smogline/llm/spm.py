@@ -30,11 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranges, table
+from .common import fresh_name, ranges, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 64 << 20
 CACHE = 300_000
+CACHE_LETTERS = 1 << 23     # and of so many letters: texts without blanks are one entry
 SEGMENT = 30_000     # cuts that are indexed at once
 GROUP = 1 << 19
 ROWS = 1024          # texts that are Python strings at once
@@ -185,7 +186,7 @@ class Vocab:
         simple = t["blank_starts"] and self.dummy_prefix
         while at < len(texts):
             for name in ("cuts", "words"):
-                if len(t[name].known) > CACHE:
+                if len(t[name].known) > CACHE or t[name].letters > CACHE_LETTERS:
                     t[name] = _Table()
             size, words, ends = 0, [], []
             while at < len(texts) and size < GROUP:
@@ -375,10 +376,12 @@ class _Table:
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
+        self.letters = 0
         self.first, self.flat = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32)
 
     def add(self, names: list[str], lens: np.ndarray, ids: np.ndarray) -> None:
         self.known.update(zip(names, range(len(self.known), len(self.known) + len(names))))
+        self.letters += sum(map(len, names))
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lens)])
         self.flat = np.concatenate([self.flat, ids])
 
@@ -512,10 +515,20 @@ def round_trip(spark: SparkSession, path: str = MODEL):
 
 
 def with_tokens(docs: DataFrame, path: str = MODEL, ids: str = "token_ids", count: str = "n_tokens") -> DataFrame:
+    """``docs`` with the ids of each text and their number; columns that have these names already are replaced."""
     encode, _ = codec(docs.sparkSession, path)
     return docs.withColumn(ids, encode(F.col("text"))).withColumn(count, F.size(ids))
 
 
+def with_round_trip(docs: DataFrame, path: str = MODEL) -> DataFrame:
+    """``docs`` with token_ids, n_tokens and round_trip (the ids decode to the text, null as the empty one); columns that
+    have these names already are replaced."""
+    name = fresh_name(docs, "found")
+    found = docs.withColumn(name, round_trip(docs.sparkSession, path)(F.col("text")))
+    return found.withColumns({"token_ids": F.col(name)["token_ids"], "n_tokens": F.size(F.col(name)["token_ids"]),
+                              "round_trip": F.col(name)["round_trip"]}).drop(name)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids, round_trip (the ids decode to the text) for every document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("found", round_trip(spark)(F.col("text")))

@@ -473,3 +473,18 @@ def test_rows_decode_as_single_texts(monkeypatch):
     for tokens in (1, 7, 1 << 16):
         monkeypatch.setattr(spm, "TOKENS", tokens)
         assert [t for some in vocab.decode_rows(ids, offsets) for t in some] == want
+
+
+def test_sentencepiece_caches_are_bounded_by_letters(monkeypatch):
+    """Texts without blanks are cached whole; the tables start anew before they grow past the bound."""
+    monkeypatch.setattr(spm, "CACHE_LETTERS", 4_000)
+    monkeypatch.setattr(spm, "GROUP", 2_000)
+    rng = random.Random(31)
+    texts = ["".join(chr(0x4E00 + rng.randrange(800)) for _ in range(rng.randint(200, 600))) for _ in range(60)]
+    model, plain = spm.load(spm.MODEL), spm.load(spm.MODEL)
+    offsets, ids = model.encode(texts)
+    held = model.ready()
+    assert max(held["words"].letters, held["cuts"].letters) <= 4_000 + 2 * 2_600
+    monkeypatch.setattr(spm, "CACHE_LETTERS", 1 << 23)
+    want_offsets, want = plain.encode(texts)
+    assert offsets.tolist() == want_offsets.tolist() and ids.tolist() == want.tolist()

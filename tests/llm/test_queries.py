@@ -120,7 +120,7 @@ def test_empty_tables(spark, odd, labels):
     assert simhash.with_components(none).count() == 0
     assert decontam.contaminated(none, spark.createDataFrame([(1, "x" * 80)], "item_id long, text string")).count() == 0
     assert kneser.classify(none, labels).count() == 0
-    assert spm.with_tokens(none).count() == 0
+    assert spm.with_tokens(none).count() == 0 and spm.with_round_trip(none).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.as_records(pages).count() == 0
     assert pages.select(htmlmain.extractor()(F.col("html"))).count() == 0
@@ -316,6 +316,7 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = corpus_pipeline.run(spark, sf)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash", "decontamination", "sentencepiece"]
-    assert out.columns == docs.columns + ["token_ids", "n_tokens"]
+    assert out.columns == docs.columns + ["token_ids", "n_tokens", "round_trip"]
+    assert out.where("not round_trip or n_tokens <> size(token_ids)").count() == 0
     ids = [r["doc_id"] for r in out.select("doc_id").collect()]
     assert len(ids) == len(set(ids)) and 0.5 * docs.count() < len(ids) < docs.count()
