@@ -16,10 +16,13 @@ Two layouts produce the chunks:
   (series, chunk). Used when the table passes a size check (row count under ``MAX_BUCKET_TABLE_ROWS``)
   and no bucket exceeds a quarter chunk (which guarantees every chunk has >= 3/4 C rows, so halos come
   from the neighbour chunk only).
+* **Series layout.** Where that table is too large to broadcast but no series is longer than a chunk (very many
+  short series), a series is its own chunk: no offsets, no copies, one shuffle by series, and none where the rows
+  are partitioned by series already.
 * **Row-number layout (two shuffles, general).** Exact row positions from a window inside
   (series, bucket) plus bucket offsets, fixed chunks of C positions, halo rows copied individually.
 
-Both expose ``_chunk`` and ``_home`` and, when asked, ``_rn`` (row position in the series), ``_cs`` and
+All expose ``_chunk`` and ``_home`` and, when asked, ``_rn`` (row position in the series), ``_cs`` and
 ``_ce`` (first and one-past-last position of the row's chunk), which the exponential mean needs.
 """
 
@@ -186,14 +189,28 @@ def bucket_layout(df: DataFrame, table: DataFrame, keys: Sequence[str], order: s
     return laid.withColumn(RN, (F.col("_off") + F.row_number().over(w) - F.lit(1)).cast("long"))
 
 
-def check_bucket_table(table: DataFrame, chunk_rows: int, lookback: int, lookahead: int) -> tuple[bool, bool]:
+def check_bucket_table(table: DataFrame, chunk_rows: int, lookback: int, lookahead: int) -> tuple[bool, bool, bool]:
     """Size check before broadcasting, from one small aggregate: (table small enough to broadcast,
-    every bucket small enough for the bucket layout)."""
-    row = table.agg(F.count(F.lit(1)).alias("rows"), F.max("_n").alias("biggest")).first()
+    every bucket small enough for the bucket layout, every series no longer than a chunk)."""
+    row = table.agg(F.count(F.lit(1)).alias("rows"), F.max("_n").alias("biggest"),
+                    F.max(F.col("_off") + F.col("_n")).alias("longest")).first()
     if row["rows"] == 0:
-        return True, True
+        return True, True, True
     limit = min(chunk_rows - max(lookback, lookahead), chunk_rows // 4)
-    return row["rows"] <= MAX_BUCKET_TABLE_ROWS, row["biggest"] <= limit
+    return row["rows"] <= MAX_BUCKET_TABLE_ROWS, row["biggest"] <= limit, row["longest"] <= chunk_rows
+
+
+# --- series layout ----------------------------------------------------------------------------------
+
+def series_layout(df: DataFrame, keys: Sequence[str], order: str, tiebreak: Sequence[str] = (),
+                  with_position: bool = False) -> DataFrame:
+    """One chunk per series, for series that are known to be short; rows without a time have no place in any layout."""
+    laid = df.filter(F.col(order).isNotNull()).withColumns({CHUNK: F.lit(0).cast("long"), HOME: F.lit(True)})
+    if not with_position:
+        return laid
+    w = Window.partitionBy(*keys)
+    return laid.withColumns({RN: (F.row_number().over(w.orderBy(order, *tiebreak)) - F.lit(1)).cast("long"),
+                             CS: F.lit(0).cast("long"), CE: F.count(F.lit(1)).over(w)})
 
 
 def over_series(df: DataFrame, key, compute: Callable[[DataFrame, WindowSpec], DataFrame], *,
@@ -215,14 +232,15 @@ def over_series(df: DataFrame, key, compute: Callable[[DataFrame, WindowSpec], D
         return compute(df, w)
     if chunk_rows < max(lookback, lookahead, 1):
         raise ValueError("chunk_rows must cover the longest frame")
-    use_bucket, small_table = False, False
+    use_bucket, small_table, use_series = False, False, layout == "series"
     if layout in ("auto", "bucket"):
         # dense series: retry with finer buckets (whole-bucket halos stay small) before giving up the
         # one-shuffle layout; a finer table is only tried while the coarser one was small enough
         for hours in dict.fromkeys([bucket_hours, *[h for h in BUCKET_RETRY_HOURS if h < bucket_hours]]):
             table = bucket_table(df, keys, order, lookback, lookahead, chunk_rows, hours).persist()
-            small_table, small_buckets = check_bucket_table(table, chunk_rows, lookback, lookahead)
+            small_table, small_buckets, short = check_bucket_table(table, chunk_rows, lookback, lookahead)
             use_bucket = small_table and small_buckets
+            use_series = layout == "auto" and short and not small_table
             if use_bucket or not small_table:
                 bucket_hours = hours
                 break
@@ -234,6 +252,9 @@ def over_series(df: DataFrame, key, compute: Callable[[DataFrame, WindowSpec], D
     if use_bucket:
         laid = bucket_layout(df, table, keys, order, tiebreak, keep_position, bucket_hours)
         w = Window.partitionBy(*keys, CHUNK).orderBy(order, *tiebreak)
+    elif use_series:
+        laid = series_layout(df, keys, order, tiebreak, keep_position)
+        w = Window.partitionBy(*keys).orderBy(order, *tiebreak)
     else:
         numbered = number_rows(df, keys, order, tiebreak, bucket_hours, broadcast_offsets=small_table)
         laid = halo_layout(numbered, lookback, lookahead, chunk_rows)

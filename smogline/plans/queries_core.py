@@ -10,7 +10,8 @@ from ..functions import aqi as AQ
 from ..functions import derived
 from ..functions.calendar import SEASON_MONTHS, SEASON_OTHER, calendar_columns, cyclic_columns
 from ..schemas import FEATURE_COLUMNS, LAG_HOURS, MODEL_BASE_COLUMNS, ROLLING_WINDOWS
-from ..sources.adapter import (RAW_EVENTS_SQL, raw_events, readings_events, readings_events_sql, readings_hot_series,
+from ..operators.sequence import DEFAULT_CHUNK_ROWS
+from ..sources.adapter import (RAW_EVENTS_SQL, longest_lineitem_series, raw_events, readings_events, readings_events_sql, readings_hot_series,
                                readings_hot_series_sql, readings_lineitem, readings_lineitem_sql)
 from . import features as FT
 from .registry import register, stable, stable_sql
@@ -190,8 +191,11 @@ def features_sql(source: str, complete: bool = True) -> str:
 
 @register("features_lineitem", features_sql(readings_lineitem_sql()))
 def q_features_lineitem(spark, sf):
-    """P18 on the many-series fixture (one series per supplier, one row per ship day)."""
-    return stable(FT.build_features(readings_lineitem(spark, sf)), STD_COLS)
+    """P18 on the many-series fixture (one series per supplier, one row per ship day): short series are partitioned
+    once, from the scan to the windows."""
+    short = longest_lineitem_series(spark, sf) <= DEFAULT_CHUNK_ROWS
+    return stable(FT.build_features(readings_lineitem(spark, sf, by_series=short), layout="series" if short else "auto"),
+                  STD_COLS)
 
 
 @register("features_hot_series", features_sql(readings_hot_series_sql()))

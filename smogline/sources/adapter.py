@@ -66,11 +66,19 @@ def readings_events(spark: SparkSession, sf_dir: str, missing: str = "skip") ->
     return raw_events(spark, sf_dir).withColumn("aqi", aqi(missing=missing)).select(*READINGS_COLUMNS)
 
 
-def raw_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+def longest_lineitem_series(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the largest supplier, an upper bound of its readings (one small aggregate)."""
+    n = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    return n.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+
+
+def raw_lineitem(spark: SparkSession, sf_dir: str, by_series: bool = False) -> DataFrame:
+    """``by_series`` partitions the rows by supplier before they are grouped: the grouping and later windows per series
+    then need no further shuffle (for short series, ``longest_lineitem_series``: a supplier's rows meet in one task)."""
     li = table(spark, sf_dir, "lineitem").select(
-        "l_suppkey", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_linenumber", "l_orderkey")
-    g = li.groupBy(F.col("l_suppkey").cast("string").alias("city"),
-                   F.col("l_shipdate").cast("timestamp_ntz").alias("time")).agg(
+        F.col("l_suppkey").cast("string").alias("city"), F.col("l_shipdate").cast("timestamp_ntz").alias("time"),
+        "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_linenumber", "l_orderkey")
+    g = (li.repartition("city") if by_series else li).groupBy("city", "time").agg(
         F.max("l_quantity").alias("_qmax"), F.min("l_quantity").alias("_qmin"),
         F.max("l_discount").alias("_dmax"), F.max("l_tax").alias("_tmax"),
         F.max("l_extendedprice").alias("_pmax"), F.count(F.lit(1)).alias("_n"),
@@ -97,8 +105,8 @@ def raw_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def readings_lineitem(spark: SparkSession, sf_dir: str, missing: str = "skip") -> DataFrame:
-    return raw_lineitem(spark, sf_dir).withColumn("aqi", aqi(missing=missing)).select(*READINGS_COLUMNS)
+def readings_lineitem(spark: SparkSession, sf_dir: str, missing: str = "skip", by_series: bool = False) -> DataFrame:
+    return raw_lineitem(spark, sf_dir, by_series).withColumn("aqi", aqi(missing=missing)).select(*READINGS_COLUMNS)
 
 
 # --- the same views as DuckDB SQL (oracle side) ---------------------------------------------------
