@@ -12,7 +12,7 @@ from ..operators import joins as J
 from ..operators import select as SEL
 from ..operators.split import chrono_split
 from ..schemas import FEATURE_COLUMNS, POLLUTANT_COLUMNS, READINGS_COLUMNS, ROLLING_WINDOWS, TARGETS, WEATHER_COLUMNS
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import dims, ingest
 from ..sources.adapter import raw_events, readings_events
 from ..tables import keyed as K
@@ -353,9 +353,11 @@ def q_live_stream(spark, sf):
     """The last 24 hours arrive as 24 landed batches; each micro-batch upserts the 168 h
     buffer and emits the features of its new rows; the result is the accumulated live table."""
     from ..streaming.live import LiveJob, readings_stream
-    raw = raw_events(spark, sf)
+    # the readings are asked for by the history and by every hour: the events are read and grouped once
+    raw = cut_lineage(raw_events(spark, sf), "live-readings")
     hist, hours = FX.live_hours(raw, 24)
-    frames = [raw.filter(F.col("time") == ntz_lit(h)) for h in hours]
+    live = cut_lineage(raw.filter(F.col("time") >= ntz_lit(hours[0])), "live-hours") if hours else raw
+    frames = [live.filter(F.col("time") == ntz_lit(h)) for h in hours]
     landing = FX.land_batches(frames, "live-landing", single_file=True)
     job = LiveJob(spark, scratch_path(spark, "live-state"), history=hist.withColumn("aqi", AQ.aqi()))
     job.run(readings_stream(spark, f"{landing}/*", max_files=1), scratch_path(spark, "live-ckpt"))
@@ -371,7 +373,8 @@ def q_buffer_stream(spark, sf):
     """T3 + T6: two landed batches (all rows; last 100 rows per city re-sent with pm2_5 + 10) through
     the streaming buffer upsert; repeated keys take the later batch, then the 168 h retention."""
     from ..streaming.live import LiveJob, readings_stream
-    landing = FX.land_batches(FX.upsert_batches(raw_events(spark, sf)), "upsert-landing")
+    raw = cut_lineage(raw_events(spark, sf), "upsert-readings")
+    landing = FX.land_batches(FX.upsert_batches(raw), "upsert-landing")
     job = LiveJob(spark, scratch_path(spark, "buffer-state"), features=False)
     job.run(readings_stream(spark, f"{landing}/*"), scratch_path(spark, "buffer-ckpt"))
     return job.latest_buffer().select(*READINGS_COLUMNS)

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from smogline.operators import sequence as S
-from smogline.plans import queries_core
+from smogline.plans import queries_core, queries_more
+from smogline.streaming import live
 
 START = dt.datetime(2024, 1, 1)
 
@@ -58,3 +59,28 @@ def test_series_beyond_the_bucket_table_are_not_numbered(spark, monkeypatch):
     short, got = run(100)
     assert "Join" in _plan(numbered) and "Join" not in _plan(short)
     assert len(want) == 267 and got == want and plain == want
+
+
+def test_live_stream_groups_the_events_once(spark, tmp_path, monkeypatch):
+    ev = spark.range(400).select(
+        F.col("id").alias("event_id"), (F.lit(START) + F.make_dt_interval(hours=(F.col("id") / 4).cast("int"))).alias("ts"),
+        (F.col("id") % 13).alias("user_id"), F.concat(F.lit("t"), (F.col("id") % 2).cast("string")).alias("event_type"),
+        (F.col("id") % 17).cast("double").alias("value"), F.concat(F.lit('{"k": '), F.col("id") % 90, F.lit("}")).alias("props"))
+    ev.write.parquet(str(tmp_path / "events.parquet"))
+    seen = {}
+
+    class Job:
+        def __init__(self, spark, root, history=None, **kw):
+            seen["history"] = history
+
+        def run(self, *a):
+            raise StopIteration
+
+    land = queries_more.FX.land_batches
+    monkeypatch.setattr(queries_more.FX, "land_batches", lambda frames, *a, **kw: seen.update(frames=frames) or land(frames[:2], *a, **kw))
+    monkeypatch.setattr(live, "LiveJob", Job)
+    with pytest.raises(StopIteration):
+        queries_more.q_live_stream(spark, str(tmp_path))
+    assert len(seen["frames"]) == 24
+    assert not any("Aggregate" in _plan(f) for f in [seen["history"], *seen["frames"]])
+    assert [f.count() for f in seen["frames"][:2]] == [2, 2] and seen["history"].count() == 2 * 76
