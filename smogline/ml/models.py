@@ -100,12 +100,17 @@ def build_pipeline(train: DataFrame, model_name: str = "gbt", label: str = "targ
     return Pipeline(stages=stages), names, dropped
 
 
+def horizon_matrix(features: DataFrame, target: str, fraction: float = 0.8) -> DataFrame:
+    """Training matrix of one horizon with the split flag, written once: indexers, imputer, fit and scoring of every
+    model read it."""
+    return cut_lineage(chrono_split(training_features(features, target), fraction), f"matrix-{target}")
+
+
 def fit_horizon(features: DataFrame, target: str, model_name: str = "gbt", fraction: float = 0.8,
-                model_path: str | None = None, **params) -> HorizonFit:
-    """One horizon: training matrix, split, fit on train, metrics on test (M3/M4, L4, A5, M7)."""
-    tm = training_features(features, target)
-    # indexers, imputer, fit and scoring each read the matrix: write it (with the split flag) once
-    split = cut_lineage(chrono_split(tm, fraction), f"matrix-{target}")
+                model_path: str | None = None, matrix: DataFrame | None = None, **params) -> HorizonFit:
+    """One horizon: training matrix (``matrix`` if it is there already), split, fit on train, metrics on test (M3/M4,
+    L4, A5, M7)."""
+    split = horizon_matrix(features, target, fraction) if matrix is None else matrix
     # a label needs the current index too (delta = target - aqi); rows without it cannot be fitted
     train = split.filter(F.col("is_train") & F.col("target_delta").isNotNull())
     test = split.filter(~F.col("is_train"))
@@ -184,5 +189,5 @@ def model_listing(metrics: DataFrame) -> DataFrame:
     return metrics.select("horizon", "model", "path").orderBy("horizon", "model")
 
 
-__all__ = ["fit_horizon", "persistence_metrics", "feature_importance", "batch_forecast", "select_best",
+__all__ = ["fit_horizon", "horizon_matrix", "persistence_metrics", "feature_importance", "batch_forecast", "select_best",
            "load_model", "saved_models", "model_listing", "MODELS", "GBT_PARAMS"]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from ..functions import aqi as AQ
@@ -384,19 +386,51 @@ def q_buffer_stream(spark, sf):
 
 # Registry smoke runs fit 50 boosting rounds; the job default (``GBT_PARAMS``) keeps the reference's 500.
 REGISTRY_GBT_ROUNDS = 50
+# Independent fits whose many small jobs are submitted side by side (as CrossValidator's ``parallelism``).
+FITS_AT_ONCE = 4
 _FITS: dict = {}
+_INPUTS: dict = {}
 
 
-def _fits(spark, sf, model: str) -> dict:
+def _side_by_side(spark, fn, items: list) -> list:
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        return pool.map(inheritable_thread_target(spark)(fn), items, chunksize=1)
+
+
+def _model_inputs(spark, sf):
+    """(complete features, {target: training matrix with the split}) of one session, shared by all models: the events
+    are read once and every matrix is built once."""
+    from ..ml import models as M
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INPUTS:
+        readings = cut_lineage(_rd(spark, sf), "model-readings")
+        feats = cut_lineage(FT.build_features(readings, drop_incomplete=True), "model-features")
+        split = _side_by_side(spark, lambda t: M.horizon_matrix(feats, t), list(TARGETS))
+        _INPUTS[key] = feats, dict(zip(TARGETS, split))
+    return _INPUTS[key]
+
+
+def _fit_models(spark, sf, models) -> None:
     """Per-horizon fits, shared by the model queries of one session (fitting is the costly part)."""
     from ..ml import models as M
-    key = (spark.sparkContext.applicationId, sf, model)
-    if key not in _FITS:
-        from ..session import cut_lineage
-        feats = cut_lineage(_feats(spark, sf, complete=True), "model-features")
+    app = spark.sparkContext.applicationId
+    missing = [(m, t) for m in models if (app, sf, m) not in _FITS for t in TARGETS]
+    if not missing:
+        return
+    feats, matrix = _model_inputs(spark, sf)
+
+    def fit(model_target):
+        model, target = model_target
         kw = {"maxIter": REGISTRY_GBT_ROUNDS} if model == "gbt" else {}
-        _FITS[key] = {t: M.fit_horizon(feats, t, model, **kw) for t in TARGETS}
-    return _FITS[key]
+        return M.fit_horizon(feats, target, model, matrix=matrix[target], **kw)
+
+    for (model, target), f in zip(missing, _side_by_side(spark, fit, missing)):
+        _FITS.setdefault((app, sf, model), {})[target] = f
+
+
+def _fits(spark, sf, model: str) -> dict:
+    _fit_models(spark, sf, [model])
+    return _FITS[(spark.sparkContext.applicationId, sf, model)]
 
 
 def _metrics_of(spark, sf, model):
@@ -429,8 +463,8 @@ def q_train_forest(spark, sf):
 def q_model_select(spark, sf):
     """M6 + M5: best of persistence, ridge, forest and boosted trees per horizon by test RMSE."""
     from ..ml.models import persistence_metrics
-    from ..session import cut_lineage
-    m = persistence_metrics(cut_lineage(_feats(spark, sf, complete=True), "select-features"))
+    _fit_models(spark, sf, ("gbt", "forest", "ridge"))              # the longest fits start first
+    m = persistence_metrics(_model_inputs(spark, sf)[0])
     for model in ("ridge", "forest", "gbt"):
         m = m.unionByName(_metrics_of(spark, sf, model))
     return AG.select_best(m)
@@ -458,11 +492,15 @@ def q_batch_forecast(spark, sf):
 def q_model_listing(spark, sf):
     """M7 + M11: save each horizon's pipeline, reload it, list horizon -> artifact path."""
     from ..ml.models import load_model, model_listing
-    rows = []
-    for model in ("forest", "gbt", "ridge"):
-        for target, fit in _fits(spark, sf, model).items():
-            path = scratch_path(spark, f"model-{model}-{target}")
-            fit.model.write().overwrite().save(path)
-            load_model(path)
-            rows.append((target.rsplit("_", 1)[-1], model, path))
+    models = ("gbt", "forest", "ridge")
+    _fit_models(spark, sf, models)                                  # the longest fits start first
+
+    def save(model_target):
+        model, target = model_target
+        path = scratch_path(spark, f"model-{model}-{target}")
+        _fits(spark, sf, model)[target].model.write().overwrite().save(path)
+        load_model(path)
+        return target.rsplit("_", 1)[-1], model, path
+
+    rows = _side_by_side(spark, save, [(m, t) for m in models for t in TARGETS])
     return model_listing(spark.createDataFrame(rows, "horizon string, model string, path string"))

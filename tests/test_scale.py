@@ -84,3 +84,37 @@ def test_live_stream_groups_the_events_once(spark, tmp_path, monkeypatch):
     assert len(seen["frames"]) == 24
     assert not any("Aggregate" in _plan(f) for f in [seen["history"], *seen["frames"]])
     assert [f.count() for f in seen["frames"][:2]] == [2, 2] and seen["history"].count() == 2 * 76
+
+
+def test_model_queries_share_matrices_and_features(spark, tmp_path, monkeypatch):
+    from pyspark.ml.regression import LinearRegression
+
+    from smogline.ml import models as M
+    ev = spark.range(800).select(
+        F.col("id").alias("event_id"), (F.lit(START) + F.make_dt_interval(hours=(F.col("id") / 2).cast("int"))).alias("ts"),
+        (F.col("id") % 13).alias("user_id"), F.concat(F.lit("t"), (F.col("id") % 2).cast("string")).alias("event_type"),
+        (F.col("id") * 7 % 61).cast("double").alias("value"),
+        F.concat(F.lit('{"k": '), F.col("id") * 3 % 70, F.lit("}")).alias("props"))
+    ev.write.parquet(str(tmp_path / "events.parquet"))
+    calls = {"events": 0, "windows": 0}
+
+    def counted(name, fn):
+        def call(*a, **kw):
+            calls[name] += 1
+            return fn(*a, **kw)
+        return call
+
+    monkeypatch.setattr(queries_more, "readings_events", counted("events", queries_more.readings_events))
+    monkeypatch.setattr(M, "training_features", counted("windows", M.training_features))
+    monkeypatch.setattr(M, "MODELS", {m: lambda **kw: LinearRegression(regParam=1.0) for m in M.MODELS})
+    monkeypatch.setattr(queries_more, "_FITS", {})
+    monkeypatch.setattr(queries_more, "_INPUTS", {}, raising=False)
+    best = queries_more.q_model_select(spark, str(tmp_path)).collect()
+    assert sorted(r["horizon"] for r in best) == ["24h", "48h", "72h"]
+    listed = queries_more.q_model_listing(spark, str(tmp_path)).collect()
+    assert [(r["horizon"], r["model"]) for r in listed] == [(h, m) for h in ("24h", "48h", "72h") for m in ("forest", "gbt", "ridge")]
+    assert calls == {"events": 1, "windows": 3}                     # whatever the number of models
+    feats = queries_more._model_inputs(spark, str(tmp_path))[0]
+    alone = M.fit_horizon(feats, "target_aqi_48h", "ridge").metrics.first()
+    shared = queries_more._fits(spark, str(tmp_path), "ridge")["target_aqi_48h"].metrics.first()
+    assert (alone["n"], alone["model"]) == (shared["n"], "ridge") and alone["rmse"] == pytest.approx(shared["rmse"], rel=1e-9)
