@@ -304,7 +304,7 @@ def test_registered_queries_are_whole(spark):
     sf = "/root/testdata/sf0.001"
     assert set(queries.QUERIES) == {f"op{n}_{s}" for n, s in enumerate(
         ["toxicity", "warc", "fingerprint", "linededup", "sentencepiece", "langid", "simhash", "htmlmain", "decontam",
-         "kneser"], 1)}
+         "kneser", "hardneg", "secrets", "periodic"], 1)}
     n_docs, n_pages = (spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("documents", "pages"))
     for name, rows in (("op2_warc", n_pages), ("op8_htmlmain", n_pages), ("op3_fingerprint", n_docs), ("op5_sentencepiece", n_docs)):
         assert queries.QUERIES[name](spark, sf).count() == rows
