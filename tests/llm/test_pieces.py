@@ -134,6 +134,40 @@ def test_near_lines_keep_enough_keys(bucket_rows, monkeypatch):
         assert hits.get((x, y), 0) >= need.get((x, y), 1) or dense.get(x, set()) & dense.get(y, set()), (len(a), len(b))
 
 
+def test_dense_blocks_walk_many_pairs_at_once(monkeypatch):
+    """Links span the classes of all near pairs; pairs of any number of edits are walked together, not line by line."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(4):
+        line = random_text(rng, rng.randint(380, 560), "abcdefghijkl ")
+        for _ in range(30):                                 # chains, whose ends are not near
+            texts.append(line)
+            line = edited(rng, line, rng.randint(4, 30), "abcdefghijkl ")
+    texts = sorted(set(texts))
+    i, j = np.triu_indices(len(texts), 1)
+    ok = linededup.near([texts[x] for x in i], [texts[x] for x in j])
+
+    def classes(links):
+        root = list(range(len(texts)))
+        for a, b in links:
+            root = [root[a] if r == root[b] else r for r in root]
+        return {tuple(x for x in range(len(texts)) if root[x] == r) for r in root}
+
+    walks = []
+    walk, walk_one = linededup.in_band, linededup.edits_within
+    monkeypatch.setattr(linededup, "in_band", lambda *a: walks.append(len(a[0])) or walk(*a))
+    monkeypatch.setattr(linededup, "edits_within", lambda *a: walks.append(1) or walk_one(*a))
+    links = linededup.spanning(list(range(len(texts))), texts, list(range(len(texts))))
+    assert classes(links) == classes(zip(i[ok].tolist(), j[ok].tolist())) and 4 <= len(classes(links)) < len(texts) // 2
+    assert sum(n > 1 for n in walks) <= 12
+    # lines of one root, and pairs that meet under an earlier key, are left out
+    assert not len(linededup.like_in_block(texts, [0] * len(texts))[0])
+    met = np.array([[-1, x % 2 - 1] for x in range(len(texts))])
+    every = set(map(frozenset, zip(*(x.tolist() for x in linededup.like_in_block(texts, range(len(texts)))))))
+    some = set(map(frozenset, zip(*(x.tolist() for x in linededup.like_in_block(texts, range(len(texts)), met)))))
+    assert some == {p for p in every if not all(x % 2 for x in p)} and {(a, b) for a, b in zip(i[ok], j[ok]) if {a, b} not in every} == set()
+
+
 def test_one_word_is_no_cut():
     line = "The committee met on Tuesday and agreed that the report should be published before the end of the month."
     assert linededup.near([line], [line.replace("Tuesday", "Sunday")]).all() and not linededup.within(
