@@ -168,6 +168,31 @@ def test_dense_blocks_walk_many_pairs_at_once(monkeypatch):
     assert some == {p for p in every if not all(x % 2 for x in p)} and {(a, b) for a, b in zip(i[ok], j[ok]) if {a, b} not in every} == set()
 
 
+def test_keys_of_a_class_stand_in_its_own_ranges():
+    """Ranges by class: a line stands in few of them, and each pair meets as often as in ranges of all classes."""
+    rng = random.Random(3)
+    lines = [random_text(rng, n, "abcdefgh ") for n in (60, 75, 90, 130, 200, 300, 500, 700, 1000, 4000) for _ in range(4)]
+    lines += [edited(rng, s, len(s) // 25, "abcdefgh ") for s in lines]
+    batch = pa.RecordBatch.from_arrays([pa.array(lines)], names=["text"])
+    each = [2, 1, 3, 1, 2, 4, 4, 3, 2, 1, 1, 2, 1]
+    times, hits = [], []
+    for parts in (sum(each), each):
+        held: dict[int, list] = {}
+        for out in linededup.emit_runs(2, parts)(iter([batch])):
+            held.setdefault(out.column(0)[0].as_py(), []).append(out)
+        assert max(held) < sum(each)
+        times.append(sum(len(o.column(1)[0].as_py()) // 8 for v in held.values() for o in v))
+        met = {}
+        for v in held.values():
+            for out in linededup.met_runs(2)(iter(v)):
+                for _, a, b, h, need in zip(*(c.to_pylist() for c in out.columns)):
+                    met[a, b] = (met.get((a, b), (0, 0))[0] + h, need)
+        hits.append(met)
+    assert hits[0] == hits[1] and len(hits[0]) >= 30 and 2 * times[1] < times[0]
+    x = np.array([1, 2, 300, 70000], dtype=np.uint32)
+    assert linededup.from_planes(linededup.planes(x), np.uint32).tolist() == x.tolist()
+
+
 def test_one_word_is_no_cut():
     line = "The committee met on Tuesday and agreed that the report should be published before the end of the month."
     assert linededup.near([line], [line.replace("Tuesday", "Sunday")]).all() and not linededup.within(
