@@ -384,8 +384,6 @@ def q_buffer_stream(spark, sf):
 
 # --- M1-M4, M6-M9, M11 (rows only: model output is not SQL) ----------------------------------------
 
-# Registry smoke runs fit 50 boosting rounds; the job default (``GBT_PARAMS``) keeps the reference's 500.
-REGISTRY_GBT_ROUNDS = 50
 # Independent fits whose many small jobs are submitted side by side (as CrossValidator's ``parallelism``).
 FITS_AT_ONCE = 4
 _FITS: dict = {}
@@ -421,8 +419,7 @@ def _fit_models(spark, sf, models) -> None:
 
     def fit(model_target):
         model, target = model_target
-        kw = {"maxIter": REGISTRY_GBT_ROUNDS} if model == "gbt" else {}
-        return M.fit_horizon(feats, target, model, matrix=matrix[target], **kw)
+        return M.fit_horizon(feats, target, model, matrix=matrix[target])
 
     for (model, target), f in zip(missing, _side_by_side(spark, fit, missing)):
         _FITS.setdefault((app, sf, model), {})[target] = f
