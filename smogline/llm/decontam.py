@@ -374,7 +374,9 @@ def _meet(cl: dict, c: np.ndarray, doc: np.ndarray, item: np.ndarray, begin: np.
 
 def _verify(cl: dict, texts: list[str], first: np.ndarray, doc: np.ndarray, item: np.ndarray, begin: np.ndarray,
             group: np.ndarray) -> Iterator[tuple]:
-    """(document, item, distance, start, end) of the best stretch of each group of windows."""
+    """(document, item, distance, start, end) of the best stretch of each group of windows (there may be none)."""
+    if not len(group):
+        return
     cut = np.flatnonzero(np.diff(group, prepend=-1))
     done: set[tuple[int, int]] = set()
     for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(group)], strict=True):

@@ -423,6 +423,23 @@ def test_decontamination_short_items_by_the_same_rule():
         assert decontam.edit_end(dict(items)[i], texts[d])[0] <= decontam.allowed(i)
 
 
+def test_decontamination_of_texts_whose_windows_meet_no_item():
+    """The last third of an item alone has the votes for a window, but no repetition's key."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    item = random_text(rng, 200, letters)
+    part = random_text(rng, 50, "0123456789") + random_text(rng, 134, letters) + item[134:] + random_text(rng, 300, "0123456789")
+    block = decontam.build([(4, item)])
+    assert block.classes[0]["repeats"]
+    c, first = decontam.code_points(part + "\0"), np.array([0, len(part) + 1])
+    grams = decontam.gram_hashes(c)
+    pos = np.flatnonzero(block.bitmap(decontam.Q)[grams])
+    windows = list(decontam._windows(block.classes[0], first, pos, grams[pos]))
+    assert windows and all(not len(decontam._meet(block.classes[0], c, *w)[3]) for w in windows)
+    assert list(decontam.find(block, [1], [part])) == []
+    assert list(decontam.find(block, [1, 2], [part, "7" * 30 + item])) == [(2, 4, 30, 230, 0)]
+
+
 def test_decontamination_votes_of_templated_items_in_parts(monkeypatch):
     """Items with one lead, texts with that lead, and one letter for ever: the parts give what the whole gives."""
     rng = random.Random(23)
