@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -193,6 +194,41 @@ def test_keys_of_a_class_stand_in_its_own_ranges():
     assert linededup.from_planes(linededup.planes(x), np.uint32).tolist() == x.tolist()
 
 
+def test_keys_of_a_range_are_met_in_bounded_parts(monkeypatch):
+    """Any number of keys in a range is met with the memory of some of them, and gives the same pairs and dense keys."""
+    rng = np.random.default_rng(8)
+    lines, each = 20_000, 100
+    keys = np.repeat(rng.integers(0, 1 << 32, lines * each // 2, dtype=np.uint32), 2)
+    line = rng.permutation(np.repeat(np.arange(lines, dtype=np.uint32), each))
+    place, n = rng.integers(0, 400, len(keys)).astype(np.uint16), rng.integers(390, 410, lines).astype(np.int32)
+    keys[:600], place[:600] = 7, 5                          # a dense key
+    g = rng.permutation(lines).astype(np.int64)
+    low = np.arange(lines, dtype=np.uint32), np.zeros(lines, dtype=np.int32)
+
+    def met():
+        hits, dense = {}, set()
+        peak = 0
+        tracemalloc.start()
+        for out in linededup.met_in(3, g, n, low, keys, line, place, 2):
+            peak = max(peak, tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            for key, a, b, h, _ in zip(*(c.to_pylist() for c in out.columns)):
+                if key is None:
+                    hits[a, b] = hits.get((a, b), 0) + h
+                else:
+                    dense.add((key, a))
+            tracemalloc.start()
+        peak = max(peak, tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        return hits, dense, peak
+
+    hits, dense, peak = met()
+    assert len(hits) > 50_000 and len(dense) > 100 and peak < 90e6
+    if hasattr(linededup, "KEYS_AT_ONCE"):
+        monkeypatch.setattr(linededup, "KEYS_AT_ONCE", len(keys) + 1)
+    assert met()[:2] == (hits, dense)
+
+
 def test_one_word_is_no_cut():
     line = "The committee met on Tuesday and agreed that the report should be published before the end of the month."
     assert linededup.near([line], [line.replace("Tuesday", "Sunday")]).all() and not linededup.within(
